@@ -45,7 +45,7 @@ class TrackConfig:
     # Physical knobs: they change plans, never results.
     hot_device_rows: int = 5_000_000       # a device with more fixes is cut into pieces
     small_input_bytes: int = 64 << 20      # below this estimate no device can be hot
-    small_sort_bytes: int = 16 << 20       # built-in percentile / sort up to this estimate
+    small_sort_bytes: int = 64 << 20       # built-in percentile / sort up to this estimate
     sketch_accuracy: int = 10_000          # percentile_approx accuracy while bracketing
     bracket_rows: int = 1_000              # bracket small enough to read out
     broadcast_rows: int = 1_000_000        # largest key list sent with broadcast()

@@ -14,7 +14,8 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     half_lon = F.radians(lon2 - lon1) / F.lit(2.0)
     chord = (F.pow(F.sin(half_lat), F.lit(2.0))
              + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(half_lon), F.lit(2.0)))
-    return F.lit(2.0 * EARTH_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(chord)))
+    root = F.sqrt(chord)  # a null stays null, which least() would not allow
+    return F.lit(2.0 * EARTH_RADIUS_M) * F.asin(F.when(root > 1.0, F.lit(1.0)).otherwise(root))
 
 
 def bearing_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column,

@@ -96,7 +96,8 @@ def _join_carry(df: DataFrame, summary: DataFrame) -> DataFrame:
     return df.join(summary, ["device_id", PIECE], "left")
 
 
-_PRIOR = Window.partitionBy("device_id").orderBy(PIECE)
+def _pieces() -> WindowSpec:
+    return Window.partitionBy("device_id").orderBy(PIECE)
 
 
 def running_sum(df: DataFrame, value: str, out: str,
@@ -106,7 +107,7 @@ def running_sum(df: DataFrame, value: str, out: str,
     local = df.withColumn(out, F.sum(value).over(upto))
     if not is_cut(df):
         return local
-    prior = _PRIOR.rowsBetween(Window.unboundedPreceding, -1)
+    prior = _pieces().rowsBetween(Window.unboundedPreceding, -1)
     carry = (df.groupBy("device_id", PIECE).agg(F.sum(value).alias("_total"))
                .withColumn("_carry", F.sum("_total").over(prior)).drop("_total"))
     joined = _join_carry(local, carry)
@@ -134,11 +135,11 @@ def run_position(df: DataFrame, flag: Column, out: str) -> DataFrame:
                      .agg(F.max("_rn").alias("_size"), F.max("_break").alias("_last_break"))
                      .withColumn("_tail", F.col("_size") - F.coalesce("_last_break", F.lit(0)))
                      .withColumn("_breaks", F.count("_last_break").over(
-                         _PRIOR.rowsBetween(Window.unboundedPreceding, 0))))
+                         _pieces().rowsBetween(Window.unboundedPreceding, 0))))
         since = (Window.partitionBy("device_id", "_breaks").orderBy(PIECE)
                  .rowsBetween(Window.unboundedPreceding, 0))
         carry = (ends.withColumn("_open", F.sum("_tail").over(since))
-                     .withColumn("_carry", F.lag("_open").over(_PRIOR))
+                     .withColumn("_carry", F.lag("_open").over(_pieces()))
                      .select("device_id", PIECE, "_carry"))
         local = _join_carry(local, carry)
         inherited = F.when(F.col("_break").isNull(), F.coalesce("_carry", F.lit(0))).otherwise(0)
@@ -157,7 +158,7 @@ def last_before(df: DataFrame, value: Column, out: str) -> DataFrame:
     local = df.withColumn("_value", value)
     result = local.withColumn(out, F.max("_value").over(earlier))
     if is_cut(df):
-        prior = _PRIOR.rowsBetween(Window.unboundedPreceding, -1)
+        prior = _pieces().rowsBetween(Window.unboundedPreceding, -1)
         carry = (local.groupBy("device_id", PIECE).agg(F.max("_value").alias("_latest"))
                       .withColumn("_carry", F.max("_latest").over(prior)).drop("_latest"))
         result = (_join_carry(result, carry)

@@ -40,13 +40,20 @@ class _Target:
     def bracket(self):
         return self.column, self.low, self.high
 
-    def contains(self) -> Column:
-        test = F.col(self.column).isNotNull()
+    def contains(self) -> str:
+        tests = [f"`{self.column}` IS NOT NULL"]
         if self.low is not None:
-            test = test & (F.col(self.column) > F.lit(self.low))
+            tests.append(f"`{self.column}` > {_literal(self.low)}")
         if self.high is not None:
-            test = test & (F.col(self.column) < F.lit(self.high))
-        return test
+            tests.append(f"`{self.column}` < {_literal(self.high)}")
+        return "(" + " AND ".join(tests) + ")"
+
+
+def _literal(value: Any) -> str:
+    """SQL text of a number; hundreds of conditions are far cheaper to build as text."""
+    if isinstance(value, float):
+        return f"{value!r}D" if math.isfinite(value) else f"double('{value}')"
+    return f"{value}L"
 
 
 def order_statistics(df: DataFrame, wanted: Sequence[tuple[str, int]],
@@ -81,39 +88,42 @@ def _narrow(df: DataFrame, pending: list[_Target], accuracy: int) -> None:
         for t in group:
             at = (t.rank - t.below) / max(t.inside - 1, 1)
             points += [max(0.0, at - slack), min(1.0, at + slack)]
-        inside = F.when(group[0].contains(), F.col(group[0].column))
-        sketches.append(F.percentile_approx(inside, points, accuracy).alias(f"s{i}"))
+        sketches.append(F.expr(
+            f"percentile_approx(CASE WHEN {group[0].contains()} THEN `{group[0].column}` END, "
+            f"array({', '.join(map(repr, points))}), {accuracy}) AS s{i}"))
     found = rows.agg(*sketches).first()
-    bounds = {}
+    # Cut every bracket at all values its sketch returned. Odd codes are rows equal to a cut
+    # value, even codes the open intervals between; one narrow shuffle counts them all.
+    cuts = [sorted(set(found[i])) for i in range(len(shared))]
+    entries = []
     for i, group in enumerate(shared.values()):
-        for j, t in enumerate(group):
-            bounds[id(t)] = found[i][2 * j], found[i][2 * j + 1]
-    tallies = []
-    for t in pending:
-        low, high = map(F.lit, bounds[id(t)])
-        value, here = F.col(t.column), t.contains()
-        tallies += [F.count_if(here & (value < low)), F.count_if(here & (value == low)),
-                    F.count_if(here & (value > low) & (value < high)),
-                    F.count_if(here & (value == high))]
-    tally = rows.agg(*[e.alias(f"t{i}") for i, e in enumerate(tallies)]).first()
-    for i, t in enumerate(pending):
-        low, high = bounds[id(t)]
-        under, at_low, between, at_high = tally[4 * i: 4 * i + 4]
-        first = t.below + under            # ranks held by `low`, the open middle, `high`
-        middle, last = first + at_low, first + at_low + between
-        if first <= t.rank < middle:
-            t.value, t.done = low, True
-        elif middle <= t.rank < last:
-            t.low, t.high, t.below, t.inside = low, high, middle, between
-        elif last <= t.rank < last + at_high and low != high:
-            t.value, t.done = high, True
+        steps = [f"int(`{group[0].column}` >= {c}) + int(`{group[0].column}` > {c})"
+                 for c in map(_literal, cuts[i])]
+        entries.append(f"CASE WHEN {group[0].contains()} THEN "
+                       f"struct({i} AS slot, {' + '.join(steps)} AS code) END")
+    tally: dict[int, dict[int, int]] = defaultdict(dict)
+    for row in (rows.selectExpr(f"explode(array_compact(array({', '.join(entries)}))) AS e")
+                    .groupBy("e.slot", "e.code").count().collect()):  # brackets * cuts rows
+        tally[row["slot"]][row["code"]] = row["count"]
+    for i, group in enumerate(shared.values()):
+        for t in group:
+            seen = t.below
+            for code in range(2 * len(cuts[i]) + 1):
+                held = tally[i].get(code, 0)
+                if t.rank < seen + held:
+                    break
+                seen += held
+            gap = code // 2
+            if code % 2:
+                t.value, t.done = cuts[i][gap], True
+            else:
+                t.low = cuts[i][gap - 1] if gap else t.low
+                t.high = cuts[i][gap] if gap < len(cuts[i]) else t.high
+                t.below, t.inside = seen, held
 
 
 def _inside_any(df: DataFrame, targets: list[_Target]) -> DataFrame:
-    test = targets[0].contains()
-    for t in targets[1:]:
-        test = test | t.contains()
-    return df.filter(test)
+    return df.filter(" OR ".join(dict.fromkeys(t.contains() for t in targets)))
 
 
 def _read_out(df: DataFrame, targets: list[_Target]) -> None:
@@ -125,11 +135,11 @@ def _read_out(df: DataFrame, targets: list[_Target]) -> None:
     held: dict[int, list] = defaultdict(list)
     for kind in dict.fromkeys(dict(df.dtypes)[t.column] for t in targets):
         same = [t for t in groups.values() if dict(df.dtypes)[t.column] == kind]
-        entries = F.array(*[
-            F.when(t.contains(), F.struct(F.lit(slots[t.bracket]).alias("slot"),
-                                          F.col(t.column).alias("value")))
-            for t in same])
-        rows = (_inside_any(df, same).select(F.explode(F.array_compact(entries)).alias("e"))
+        entries = ", ".join(
+            f"CASE WHEN {t.contains()} THEN struct({slots[t.bracket]} AS slot, `{t.column}` AS value) END"
+            for t in same)
+        rows = (_inside_any(df, same)
+                .selectExpr(f"explode(array_compact(array({entries}))) AS e")
                 .groupBy("e.slot", "e.value").count())
         for row in rows.collect():  # bounded: brackets * bracket_rows
             held[row["slot"]].append((row["value"], row["count"]))
@@ -148,9 +158,7 @@ def quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]],
     columns = list(wanted)
     df = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     if is_small(df, cfg):
-        row = df.agg(*[F.percentile(c, list(wanted[c])).alias(c) for c in columns]).first()
-        return {c: list(row[c]) if row[c] is not None else [None] * len(wanted[c])
-                for c in columns}
+        return _small_quantiles(df, wanted)
     counts = df.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
     ranks = []
     for c in columns:
@@ -166,6 +174,17 @@ def quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]],
     return out
 
 
+def _small_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict:
+    """Built-in percentile with the columns as groups, so that they share the tasks."""
+    points = sorted({q for qs in wanted.values() for q in qs})
+    entries = ", ".join(f"struct('{c}' AS name, `{c}` AS value)" for c in wanted)
+    rows = (df.selectExpr(f"explode(array({entries})) AS e").groupBy("e.name")
+              .agg(F.percentile("e.value", points).alias("at")).collect())  # one per column
+    at = {r["name"]: r["at"] for r in rows}
+    return {c: [at[c][points.index(q)] if at.get(c) else None for q in qs]
+            for c, qs in wanted.items()}
+
+
 def quantile(df: DataFrame, column: str, q: float, cfg: TrackConfig = DEFAULT) -> Column:
     """One quantile as a Column: a scalar subquery for small inputs, else an exact literal."""
     narrow = df.select(F.col(column).cast("double").alias(column))

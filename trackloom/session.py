@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -29,3 +33,17 @@ def local(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> Sp
             .config("spark.ui.showConsoleProgress", "false")
             .config("spark.log.level", "ERROR")
             .getOrCreate())
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per Spark application."""
+    context = spark.sparkContext
+    if getattr(context, "_trackloom_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="trackloom-")) / "trackloom.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, pathlib.Path(root.name) / source.relative_to(root))
+    context.addPyFile(str(archive))
+    context._trackloom_shipped = True

@@ -1,0 +1,161 @@
+"""Motion features on a stream: each device's windows continue across micro-batches."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from trackloom.config import DEFAULT, TrackConfig
+from trackloom.functions.geo import EARTH_RADIUS_M
+from trackloom.schema import feature_names
+from trackloom.session import ship
+
+_FIX = ("id", "ts", "lat", "lon", "alt")
+_KINDS = {"id": "bigint", "ts": "bigint", "lat": "double", "lon": "double", "alt": "double"}
+STATE = ", ".join([*(f"tail_{c} array<{_KINDS[c]}>" for c in _FIX),
+                   *(f"wait_{c} array<{_KINDS[c]}>" for c in _FIX),
+                   "hover_run bigint", "odometer double"])
+
+
+def output_schema(cfg: TrackConfig = DEFAULT) -> T.StructType:
+    fields = [T.StructField("id", T.LongType()), T.StructField("device_id", T.LongType()),
+              T.StructField("ts", T.TimestampType()),
+              *[T.StructField(c, T.DoubleType()) for c in ("lat", "lon", "alt")],
+              T.StructField("hover_run", T.LongType()),
+              T.StructField("cumulative_distance", T.DoubleType()),
+              *[T.StructField(c, T.DoubleType()) for c in feature_names(cfg.rolling_windows)],
+              T.StructField("late", T.BooleanType())]
+    return T.StructType(fields)
+
+
+def _recent(values: np.ndarray, k: int) -> np.ndarray:
+    """Row i: the last k values up to i, NaN where the track had not begun."""
+    padded = np.concatenate([np.full(k - 1, np.nan), values])
+    return np.lib.stride_tricks.sliding_window_view(padded, k)
+
+
+def _mean_std(values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    seen = _recent(values, k)
+    size = (~np.isnan(seen)).sum(axis=1)
+    mean = np.nansum(seen, axis=1) / size
+    spread = np.nansum((seen - mean[:, None]) ** 2, axis=1)
+    return mean, np.where(size > 1, np.sqrt(spread / np.maximum(size - 1, 1)), np.nan)
+
+
+def features_of(track: pd.DataFrame, skip: int, hover_run: int, odometer: float,
+                cfg: TrackConfig = DEFAULT) -> pd.DataFrame:
+    """Features of the rows after the first ``skip`` rows, which are look-back only."""
+    ts = track["ts"].to_numpy(np.int64)
+    lat, lon, alt = (track[c].to_numpy(float) for c in ("lat", "lon", "alt"))
+    first = slice(0, 1)
+    step = lambda x: np.diff(x, prepend=x[first])
+    dt = step(ts) / 1e6
+    moving = dt > 0
+    per_second = lambda x: np.divide(x, dt, out=np.zeros(len(dt)), where=moving)
+    p1, p2 = np.radians(np.r_[lat[first], lat[:-1]]), np.radians(lat)
+    chord = (np.sin(np.radians(step(lat)) / 2) ** 2
+             + np.cos(p1) * np.cos(p2) * np.sin(np.radians(step(lon)) / 2) ** 2)
+    distance = 2 * EARTH_RADIUS_M * np.arcsin(np.minimum(1.0, np.sqrt(chord)))
+    speed, climb = per_second(distance), step(alt)
+    rate, vertical = per_second(step(speed)), per_second(climb)
+
+    out = {"dt": dt, "distance_m": distance, "speed_m_s": speed, "vertical_speed": vertical,
+           "acceleration_abs": np.abs(rate), "speed_change_abs": np.abs(rate),
+           "alt_change_abs": np.abs(climb)}
+    for k in cfg.rolling_windows:
+        for prefix, values in (("acc", rate), ("speed", speed), ("vert_speed", vertical)):
+            mean, std = _mean_std(values, k)
+            out[f"{prefix}_mean_{k}"], out[f"{prefix}_std_{k}"] = mean, np.nan_to_num(std)
+        out[f"distance_sum_{k}"] = np.nansum(_recent(distance, k), axis=1)
+    mean, std = _mean_std(speed, cfg.zscore_window)
+    out["speed_zscore"] = np.nan_to_num((speed - mean) / (std + 1e-6))
+
+    slow = speed < cfg.hover_speed
+    place = np.arange(len(slow))
+    broken = np.maximum.accumulate(np.where(~slow & (place >= skip), place, skip - 1))
+    inherited = np.where(broken == skip - 1, hover_run, 0)
+    run = np.where(slow, place - broken + inherited, 0)
+    when = pd.to_datetime(ts, unit="us")
+    out |= {"hover_flag": run * dt > cfg.hover_seconds,
+            "burst_flag": (np.abs(rate) > cfg.burst_acceleration) | (np.abs(rate) > cfg.burst_speed_change),
+            "hour_norm": when.hour.to_numpy() / 24.0,
+            "day_of_week_norm": when.dayofweek.to_numpy() / 7.0,
+            "log_speed": np.log1p(speed), "log_distance": np.log1p(distance)}
+    table = pd.DataFrame({c: np.asarray(out[c], dtype=float) for c in feature_names(cfg.rolling_windows)})
+    table = table.replace([np.inf, -np.inf], 0.0).fillna(0.0)
+    table.insert(0, "cumulative_distance", odometer + np.cumsum(np.where(place >= skip, distance, 0.0)))
+    table.insert(0, "hover_run", run)
+    for c in reversed(_FIX):
+        table.insert(0, c, track[c].to_numpy())
+    return table.iloc[skip:]
+
+
+def _frame(values: tuple) -> pd.DataFrame:
+    return pd.DataFrame({c: np.asarray(v, dtype=np.int64 if c in ("id", "ts") else float)
+                         for c, v in zip(_FIX, values)})
+
+
+def stream_features(fixes: DataFrame, hold: str | None = None,
+                    cfg: TrackConfig = DEFAULT) -> DataFrame:
+    """Features of a stream of fixes, equal to the batch features over the same rows.
+
+    ``hold`` (for example "10 minutes") keeps a device's newest fixes back until the device has
+    moved on that far in event time, or nothing arrived for that long, so that fixes out of
+    order inside the interval are put in order. Fixes older than what was already emitted for
+    their device come out with ``late`` set and null features; none is dropped.
+    """
+    wait_us = 0 if hold is None else int(pd.Timedelta(hold).total_seconds() * 1e6)
+    schema, lookback = output_schema(cfg), cfg.state_lookback
+    columns = schema.names
+    ship(fixes.sparkSession)
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            saved = state.get
+            tail, waiting, hover, odometer = _frame(saved[:5]), _frame(saved[5:10]), saved[10], saved[11]
+        else:
+            tail, waiting, hover, odometer = _frame(((),) * 5), _frame(((),) * 5), 0, 0.0
+        late = []
+        if state.hasTimedOut:
+            ready, waiting = waiting, waiting.iloc[:0]
+        else:
+            fresh = pd.concat([b[list(_FIX)] for b in batches], ignore_index=True)
+            if len(tail):
+                last = tail.iloc[-1]
+                old = (fresh["ts"] < last["ts"]) | ((fresh["ts"] == last["ts"]) & (fresh["id"] <= last["id"]))
+                late.append(fresh[old])
+                fresh = fresh[~old]
+            queue = pd.concat([waiting, fresh], ignore_index=True).sort_values(["ts", "id"])
+            done = queue["ts"] <= queue["ts"].max() - wait_us if len(queue) else queue["ts"] > 0
+            ready, waiting = queue[done], queue[~done]
+        for rows in late:
+            if len(rows):
+                yield _finish(rows.assign(late=True), key[0], columns)
+        if len(ready):
+            track = pd.concat([tail, ready], ignore_index=True)
+            made = features_of(track, len(tail), hover, odometer, cfg)
+            hover, odometer = int(made["hover_run"].iloc[-1]), float(made["cumulative_distance"].iloc[-1])
+            tail = track.iloc[-lookback:]
+            yield _finish(made.assign(late=False), key[0], columns)
+        state.update((*(tail[c].tolist() for c in _FIX), *(waiting[c].tolist() for c in _FIX),
+                      hover, odometer))
+        if len(waiting):
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + max(1, wait_us // 1000))
+
+    # The watermark runs on arrival time: it only drives the hold timer and discards nothing.
+    timed = (fixes.select("device_id", "id", F.unix_micros("ts").alias("ts"), "lat", "lon", "alt",
+                          F.current_timestamp().alias("arrived"))
+                  .withWatermark("arrived", "0 seconds"))
+    return timed.groupBy("device_id").applyInPandasWithState(
+        advance, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _finish(rows: pd.DataFrame, device, columns: list[str]) -> pd.DataFrame:
+    rows = rows.assign(device_id=device, ts=pd.to_datetime(rows["ts"], unit="us", utc=True))
+    return rows.reindex(columns=columns)
