@@ -142,6 +142,17 @@ def test_importance(rows, model):
     assert max(r["importance_mean"] for r in found.values()) > 0
 
 
+def test_permuted_scores_equal_plain_scoring(rows, model):
+    values = rows.orderBy("id").select(*FEATURES).toPandas().to_numpy()
+    own, donor, forest = values[:200], values[300:500], model.packed()
+    plain, permuted = forest.permuted_scores(own, donor)
+    assert plain == pytest.approx(forest.scores(own)[:, 0], rel=1e-12)
+    for i in range(len(FEATURES)):
+        mixed = own.copy()
+        mixed[:, i] = donor[:, i]
+        assert permuted[:, i] == pytest.approx(forest.scores(mixed)[:, 0], rel=1e-12)
+
+
 def test_permutation_keeps_every_value(spark, rows, model):
     """With one feature deciding the score, the permuted scores are the same multiset: equal sums."""
     nodes = spark.createDataFrame([("k", 0, 0, 0, 0.5, 1, 2, 9, 0), ("k", 0, 1, -1, 0.0, -1, -1, 5, 1),

@@ -64,17 +64,19 @@ def _unit_hash(*parts: Column) -> Column:
 def draw_samples(rows: DataFrame, n: int, psi: int, n_trees: int, seed: int) -> DataFrame:
     """``psi`` distinct rows per tree: (tree_id, id, ...). ``rows`` has an ``id``."""
     key, salt = F.col("id"), F.lit(seed)
-    if n >= 20 * n_trees * psi:
-        # Plenty of rows: one thin sample, dealt out to the trees.
-        share = _SPARE * n_trees * psi / n
-        drawn = (rows.filter(_unit_hash(key, salt, F.lit("row")) < F.lit(share))
-                     .withColumn("tree_id", F.pmod(F.xxhash64(key, salt, F.lit("tree")),
-                                                   F.lit(n_trees)).cast("int")))
-    else:
-        share = min(1.0, _SPARE * psi / n)
+    share = _SPARE * psi / n                       # of all rows, per tree
+    if share >= 0.25:
+        # Few rows: every (row, tree) pair is decided on its own.
         trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                         lambda t: _unit_hash(key, t, salt) < F.lit(share))
+                         lambda t: _unit_hash(key, t, salt) < F.lit(min(1.0, share)))
         drawn = rows.withColumn("tree_id", F.explode(trees))
+    else:
+        # Many rows: thin them to what is needed, then deal each row out a few times.
+        times = share * n_trees
+        kept = rows.filter(_unit_hash(key, salt, F.lit("row")) < F.lit(min(1.0, times)))
+        deals = F.transform(F.sequence(F.lit(1), F.lit(math.ceil(times))), lambda k: F.pmod(
+            F.xxhash64(key, k, salt, F.lit("tree")), F.lit(n_trees)).cast("int"))
+        drawn = kept.withColumn("tree_id", F.explode(F.array_distinct(deals)))
     place = Window.partitionBy("tree_id").orderBy(F.xxhash64(key, "tree_id", salt), key)
     return (drawn.withColumn("_place", F.row_number().over(place))
                  .filter(F.col("_place") <= psi).drop("_place"))
@@ -210,8 +212,8 @@ def permuted_scores(rows: DataFrame, model: Model, repeats: int, n: int,
     """(feature, repeat, mean baseline score, mean score with that feature permuted).
 
     A repeat orders the rows of each random block by a hash and hands every row the values of
-    the next row in its block, a permutation needing one shuffle and no join. Rows are scored
-    once as they are and once per feature; tasks return sums only.
+    the next row in its block, a permutation needing one shuffle and no join. Tasks return
+    sums only.
     """
     features = model.scaler.features
     blocks = max(1, math.ceil(n / cfg.shuffle_block_rows))
@@ -239,14 +241,9 @@ def permuted_scores(rows: DataFrame, model: Model, repeats: int, n: int,
         for batch in batches:
             for repeat, part in batch.groupby("repeat"):
                 values = part.drop(columns="repeat").to_numpy(dtype=float)
-                base, donor = values[:, :width].copy(), values[:, width:]
-                plain = forest.scores(base)[:, 0].sum()
-                out = []
-                for i in range(width):
-                    keep = base[:, i].copy()
-                    base[:, i] = donor[:, i]
-                    out.append((i, int(repeat), len(part), plain, forest.scores(base)[:, 0].sum()))
-                    base[:, i] = keep
+                plain, permuted = forest.permuted_scores(values[:, :width], values[:, width:])
+                out = [(i, int(repeat), len(part), plain.sum(), permuted[:, i].sum())
+                       for i in range(width)]
                 yield pd.DataFrame(out, columns=["slot", "repeat", "rows", "plain", "permuted"])
 
     named = F.element_at(F.array(*[F.lit(c) for c in features]), F.col("slot") + 1)

@@ -15,6 +15,7 @@ import pandas as pd
 
 EULER_GAMMA = 0.5772156649015329  # fixed value
 LEAF = -1
+BLOCK = 16_384  # rows scored together
 
 
 def depth_limit(psi: int) -> int:
@@ -71,35 +72,83 @@ class PackedForest:
         """-2^(-mean path / c(psi)) per row; one column per prefix of the forest."""
         counts = tree_counts or (len(self.feature),)
         out = np.empty((len(raw), len(counts)))
-        for start in range(0, len(raw), 4096):  # keep the working set in cache
-            part = slice(start, start + 4096)
-            out[part] = self._scores((raw[part] - self.median) / self.iqr, counts)
+        for start in range(0, len(raw), BLOCK):
+            part = slice(start, start + BLOCK)
+            total = np.zeros(len(out[part]))
+            for tree, (_, path) in enumerate(self._descend(self.scaled(raw[part]), max(counts))):
+                total += path
+                for j, count in enumerate(counts):
+                    if count == tree + 1:
+                        out[part, j] = self._score(total, count)
         return out
 
-    def _scores(self, x: np.ndarray, counts: tuple[int, ...]) -> np.ndarray:
-        flat = np.ascontiguousarray(x).ravel()
-        base = np.arange(len(x)) * x.shape[1]
-        total = np.zeros(len(x))
-        norm = max(float(mean_path(self.psi)), 1e-12)
-        first_leaf = (1 << self.depth) - 1
-        out = np.empty((len(x), len(counts)))
-        for tree in range(max(counts)):
+    def permuted_scores(self, own: np.ndarray, donor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores as they are, and per feature with only that feature taken from the donor row.
+
+        Another value of a feature matters to a tree only where the row's path tests that
+        feature, so only those (row, feature) pairs descend a second time.
+        """
+        plain, permuted = np.empty(len(own)), np.empty(own.shape)
+        for start in range(0, len(own), BLOCK):
+            part = slice(start, start + BLOCK)
+            x, y = self.scaled(own[part]), self.scaled(donor[part])
+            total, change = np.zeros(len(x)), np.zeros(x.shape)
+            for tree, (visited, path) in enumerate(self._descend(x, len(self.feature), trace=True)):
+                total += path
+                feature, threshold = self.feature[tree], self.threshold[tree]
+                tested = np.zeros(x.shape, dtype=bool)
+                for at in visited:
+                    inner = np.flatnonzero(np.isfinite(threshold[at]))
+                    tested[inner, feature[at[inner]]] = True
+                row, column = np.nonzero(tested)
+                at = np.zeros(len(row), dtype=np.intp)
+                for _ in range(self.depth):
+                    f = feature[at]
+                    value = np.where(f == column, y[row, f], x[row, f])
+                    at = 2 * at + 1 + (value > threshold[at])
+                change[row, column] += self.path[tree][at - self.first_leaf] - path[row]
+            plain[part] = self._score(total, len(self.feature))
+            permuted[part] = self._score(total[:, None] + change, len(self.feature))
+        return plain, permuted
+
+    @property
+    def first_leaf(self) -> int:
+        return (1 << self.depth) - 1
+
+    def scaled(self, raw: np.ndarray) -> np.ndarray:
+        return (raw - self.median) / self.iqr
+
+    def _score(self, total: np.ndarray, trees: int) -> np.ndarray:
+        return -np.exp2(-total / (trees * max(float(mean_path(self.psi)), 1e-12)))
+
+    def _descend(self, x: np.ndarray, trees: int, trace: bool = False):
+        """Per tree: the slots each row visited (if traced) and its path length."""
+        flat, base = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
+        at, place = np.empty(len(x), np.intp), np.empty(len(x), np.intp)
+        value, cut, right = np.empty(len(x)), np.empty(len(x)), np.empty(len(x), bool)
+        for tree in range(trees):
             feature, threshold = self.feature[tree], self.threshold[tree]
-            at = np.zeros(len(x), dtype=np.int64)
+            at.fill(0)
+            visited = []
             for _ in range(self.depth):
-                at = 2 * at + 1 + (flat[base + feature[at]] > threshold[at])
-            total += self.path[tree][at - first_leaf]
-            for j, count in enumerate(counts):
-                if count == tree + 1:
-                    out[:, j] = -np.exp2(-total / (count * norm))
-        return out
+                if trace:
+                    visited.append(at.copy())
+                np.take(feature, at, out=place, mode="clip")
+                np.add(place, base, out=place)
+                np.take(flat, place, out=value, mode="clip")
+                np.take(threshold, at, out=cut, mode="clip")
+                np.greater(value, cut, out=right)
+                np.add(at, at, out=at)
+                np.add(at, 1, out=at)
+                np.add(at, right, out=at)
+            yield visited, self.path[tree].take(at - self.first_leaf, mode="clip")
 
 
 def pack(nodes: pd.DataFrame, psi: int, median, iqr) -> PackedForest:
     depth = depth_limit(psi)
     trees = nodes["tree_id"].nunique()
     inner, leaves = (1 << depth) - 1, 1 << depth
-    feature = np.zeros((trees, inner), dtype=np.int64)
+    feature = np.zeros((trees, inner), dtype=np.intp)
     threshold = np.full((trees, inner), np.inf)
     path = np.zeros((trees, leaves))
     for t, (_, tree) in enumerate(nodes.groupby("tree_id", sort=True)):
