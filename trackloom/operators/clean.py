@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from trackloom.config import DEFAULT, TrackConfig
 from trackloom.functions.geo import haversine_m
 from trackloom.functions.scalars import or_zero, ratio_or_zero, seconds_between
-from trackloom.plans.ordered import cut_hot_devices, drop_lookback, track, with_lookback
+from trackloom.plans.ordered import (cut_hot_devices, drop_lookback, forget_pieces, track,
+                                     with_lookback)
 from trackloom.schema import REQUIRED
 
 
@@ -66,12 +67,17 @@ def _stepped(df: DataFrame, cfg: TrackConfig) -> DataFrame:
     return drop_lookback(add_step(with_lookback(usable, 1)))
 
 
+def clean_pieces(df: DataFrame, cfg: TrackConfig = DEFAULT) -> DataFrame:
+    """``clean`` with the piece numbers of hot devices kept for the next ordered step."""
+    return _stepped(df, cfg).filter(long_enough(cfg)).filter(slow_enough(cfg))
+
+
 def clean(df: DataFrame, cfg: TrackConfig = DEFAULT) -> DataFrame:
     """Null drop, bounds, dt, minimum dt, speed, maximum speed, in that order.
 
     A device's first fix has dt 0 and therefore goes. Adds dt, distance_m and speed_m_s.
     """
-    return _stepped(df, cfg).filter(long_enough(cfg)).filter(slow_enough(cfg))
+    return forget_pieces(clean_pieces(df, cfg))
 
 
 def quality_report(df: DataFrame, cfg: TrackConfig = DEFAULT) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trackloom.config import DEFAULT, TrackConfig
 from trackloom.functions.scalars import (burst_flag, finite_or_zero, monday_zero_weekday, or_zero,
                                          utc_hour)
+from trackloom.operators.clean import clean_pieces
 from trackloom.operators.motion import add_motion
 from trackloom.plans.ordered import (cut_hot_devices, drop_lookback, forget_pieces, run_position,
                                      track, with_lookback)
@@ -91,6 +92,4 @@ def build_features(df: DataFrame, cfg: TrackConfig = DEFAULT, derive: str = "alw
 
 def clean_features(df: DataFrame, cfg: TrackConfig = DEFAULT) -> DataFrame:
     """Cleaning followed by features; the interval, distance and speed of cleaning are kept."""
-    from trackloom.operators.clean import clean
-
-    return build_features(clean(df, cfg), cfg, given=frozenset({"dt", "distance_m", "speed_m_s"}))
+    return build_features(clean_pieces(df, cfg), cfg, given=frozenset({"dt", "distance_m", "speed_m_s"}))

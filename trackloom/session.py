@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording a Python call site for each of hundreds of columns slows plan building.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -28,6 +30,7 @@ def local(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> Sp
     """Small session for tests and benches."""
     return (builder().master(f"local[{cores}]")
             .config("spark.sql.shuffle.partitions", str(partitions))
+            .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
             .config("spark.driver.memory", memory)
             .config("spark.ui.enabled", "false")
             .config("spark.ui.showConsoleProgress", "false")
