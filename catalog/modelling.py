@@ -4,7 +4,9 @@ the scorer itself is checked against SQL on a forest derived from the data."""
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.adapter import FIXES_SQL, devices, fixes, ntz, rounded, with_sql
@@ -13,6 +15,7 @@ from catalog.registry import query
 from trackloom.config import DEFAULT
 from trackloom.models import forest as Fr
 from trackloom.models.scaler import Scaler, fit_scaler
+from trackloom.operators import devices as D
 from trackloom.operators import metrics as M
 from trackloom.operators.features import build_features, clean_features
 from trackloom.plans import jobs
@@ -136,12 +139,19 @@ def inference_job(spark, sf_dir):
 
 
 def _model_folder(spark, sf_dir):
-    """Models for some of the devices, thresholds included."""
+    """Every model that devices use, thresholds included; three forests are shared out by name."""
     folder, rows = new_path(spark, "models"), _features(spark, sf_dir)
     scaler = fit_scaler(rows, FEATURES)
-    for seed, name in enumerate(("model_3", "model_7", "model_11")):
-        model = Fr.fit_forest(rows, scaler, name, n_trees=50, seed=seed, trained_at=WHEN)
-        Fr.save_model(Fr.with_threshold(model, -0.55), folder)
+    names = D.model_catalogue(devices(spark, sf_dir)).withColumn(
+        "kind", F.pmod(F.xxhash64("model_name"), F.lit(3)).cast("int"))
+    nodes, meta = [], []
+    for kind in range(3):
+        model = Fr.fit_forest(rows, scaler, f"kind_{kind}", n_trees=50, seed=kind, trained_at=WHEN)
+        model = Fr.with_threshold(model, -0.55)
+        nodes.append(model.nodes.drop("model_name").withColumn("kind", F.lit(kind)))
+        meta.append(model.meta().drop("model_name").withColumn("kind", F.lit(kind)))
+    named = [reduce(DataFrame.unionByName, parts).join(names, "kind").drop("kind") for parts in (nodes, meta)]
+    Fr.save_tables(named[0], named[1], folder)
     return folder
 
 

@@ -266,7 +266,12 @@ def feature_importance(rows: DataFrame, model: Model, repeats: int | None = None
 
 def save_model(model: Model, folder: str) -> None:
     """Write nodes and meta under ``model_name=...``; other models in the folder stay."""
-    for table, rows in (("nodes", model.nodes), ("meta", model.meta())):
+    save_tables(model.nodes, model.meta(), folder)
+
+
+def save_tables(nodes: DataFrame, meta: DataFrame, folder: str) -> None:
+    """Write any number of models at once from their node and meta rows."""
+    for table, rows in (("nodes", nodes), ("meta", meta)):
         (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("model_name").parquet(f"{folder}/{table}"))
 
