@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from trackloom.config import DEFAULT, TrackConfig
 from trackloom.functions.scalars import seconds_between
-from trackloom.plans.ordered import (PIECE, cut_hot_devices, device_rank, drop_lookback,
-                                     forget_pieces, is_cut, last_before, running_sum, track,
+from trackloom.plans.ordered import (PIECE, cut_hot_devices, device_rank, device_size,
+                                     drop_lookback, forget_pieces, is_cut, last_before, running_sum, track,
                                      with_lookback)
 from trackloom.plans.selection import quantile
 
@@ -25,15 +25,13 @@ def label_below(df: DataFrame, threshold: Column) -> DataFrame:
 def device_quantiles(df: DataFrame, q: float, cfg: TrackConfig = DEFAULT) -> DataFrame:
     """Exact interpolated score quantile of every device, by rank within the device."""
     order = ("anomaly_score", "id")
-    ranked = device_rank(cut_hot_devices(df.select("device_id", *order), cfg, order), "_rank", order)
-    size = df.groupBy("device_id").agg(F.count(F.lit(1)).alias("_size"))
+    cut = cut_hot_devices(df.select("device_id", *order), cfg, order)
+    ranked = device_size(device_rank(cut, "_rank", order), "_size")
     at = F.lit(q) * (F.col("_size") - 1)
     zero_based = F.col("_rank") - 1
     share = at - F.floor(at)
-    weight = (F.when(zero_based == F.floor(at), 1.0 - share).otherwise(0.0)
-              + F.when(zero_based == F.floor(at) + 1, share).otherwise(0.0))
-    return (forget_pieces(ranked).join(size, "device_id")
-            .filter(zero_based.between(F.floor(at), F.floor(at) + 1))
+    weight = F.when(zero_based == F.floor(at), 1.0 - share).otherwise(share)
+    return (ranked.filter(zero_based.between(F.floor(at), F.floor(at) + 1))
             .groupBy("device_id").agg(F.sum(F.col("anomaly_score") * weight).alias("threshold")))
 
 

@@ -120,6 +120,15 @@ def device_rank(df: DataFrame, out: str, order: Sequence[str] = TIME_ORDER) -> D
     return running_sum(df.withColumn("_one", F.lit(1).cast("long")), "_one", out, order).drop("_one")
 
 
+def device_size(df: DataFrame, out: str) -> DataFrame:
+    """Number of rows of the row's device, without bringing a hot device together."""
+    if not is_cut(df):
+        return df.withColumn(out, F.count(F.lit(1)).over(Window.partitionBy("device_id")))
+    parts = df.groupBy("device_id", PIECE).agg(F.count(F.lit(1)).alias("_part"))
+    whole = Window.partitionBy("device_id")  # one row per piece
+    return _join_carry(df, parts.withColumn(out, F.sum("_part").over(whole)).drop("_part"))
+
+
 def run_position(df: DataFrame, flag: Column, out: str) -> DataFrame:
     """1-based position inside the current run of rows with ``flag``; 0 outside a run."""
     w = track(df)

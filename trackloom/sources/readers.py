@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from trackloom.config import DEFAULT, TrackConfig
 from trackloom.functions.scalars import parse_utc
 from trackloom.operators.clean import clean, require_columns, require_rows
-from trackloom.schema import DEVICES, FACT_NAMES, FIXES, INFERENCE_COLUMNS, OPTIONAL, RAW_CSV, RAW_NAMES
+from trackloom.schema import (DEVICE_NAMES, DEVICES, FACT_NAMES, FIXES, INFERENCE_COLUMNS, OPTIONAL,
+                              RAW_CSV, RAW_NAMES, REQUIRED)
 
 
 def canonical(df: DataFrame) -> DataFrame:
@@ -36,6 +37,13 @@ def with_defaults(df: DataFrame) -> DataFrame:
     return df.withColumn("anomaly", F.coalesce("anomaly", F.lit(1)))
 
 
+def with_id(df: DataFrame) -> DataFrame:
+    """A repeatable row key where the file has none; equal rows are interchangeable anyway."""
+    if "id" in df.columns:
+        return df
+    return df.withColumn("id", F.xxhash64(*[F.col(c) for c in REQUIRED]))
+
+
 def pick_devices(df: DataFrame, device_id: int | None = None,
                  device_ids: Iterable[int] | None = None) -> DataFrame:
     """A list of devices wins over a single one; neither means all."""
@@ -54,7 +62,7 @@ def load_track(spark: SparkSession, path: str, device_id: int | None = None,
                fmt: str = "csv", cfg: TrackConfig = DEFAULT) -> DataFrame:
     """Track file(s): UTC times, device filter, a non-empty check and optional cleaning."""
     raw = read_csv_by_name(spark, path) if fmt == "csv" else spark.read.format(fmt).load(path)
-    df = require_columns(canonical(raw))
+    df = with_id(require_columns(canonical(raw)))
     df = require_rows(pick_devices(df, device_id, device_ids), 1, f"no fixes in {path}")
     return clean(df, cfg) if validate else df
 
@@ -79,8 +87,6 @@ def read_fixes(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 
 def read_devices(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     df = spark.read.format(fmt).load(path)
-    from trackloom.schema import DEVICE_NAMES
-
     df = df.withColumnsRenamed({k: v for k, v in DEVICE_NAMES.items() if k in df.columns})
     return df.select(*[F.col(f.name).cast(f.dataType) for f in DEVICES])
 
