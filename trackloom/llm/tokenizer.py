@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CHUNKS = 450_000      # remembered chunks per generation and worker
+CHUNKS = 280_000      # remembered chunks per generation and worker
 LONGEST = 64          # longer chunks are encoded, not remembered
 BATCH_CHARS = 1 << 20
 
