@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import ROW, materialize, ship
 from .components import components
 
 BUCKET = 4096
@@ -59,15 +59,16 @@ def _fingerprints(words: int):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             found = np.array([fingerprint(t.as_py(), words) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.int64())], names=["doc_id", ROW, "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """`doc_id, fp` (the 64 bits as a signed long) of every row."""
+    """`doc_id, _row, fp` (the 64 bits as a signed long) of every row; _row is 0 unless `docs` numbers its rows."""
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints(words), "doc_id long, fp long")
+    row = F.col(ROW) if ROW in docs.columns else F.lit(0).cast("long").alias(ROW)
+    return docs.select(F.col("doc_id").cast("long"), "text", row).mapInArrow(_fingerprints(words), f"doc_id long, {ROW} long, fp long")
 
 
 @lru_cache(maxsize=4096)
@@ -169,16 +170,32 @@ def links(nodes: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
         dealt = materialize(heavy.mapInArrow(_deal(radius), "mask long, key long, fp long"), "finer-buckets")
 
 
+def _classes(prints: DataFrame, radius: int, bucket: int) -> DataFrame:
+    """`fp, component` (its smallest fingerprint) of every distinct fingerprint."""
+    nodes = prints.select("fp").distinct()
+    joined = components(links(nodes, radius, bucket)).withColumnRenamed("node", "fp")
+    return nodes.join(joined, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
     """`doc_id, fp, component_id` of every row of `docs` (doc_id, text)."""
-    prints = materialize(fingerprints(docs, words), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    joined = components(links(nodes.select("fp"), radius, bucket)).withColumnRenamed("node", "fp")
-    group = F.coalesce("component", "fp")
-    nodes = nodes.join(joined, "fp", "left").select("fp", "least", group.alias("component"))
+    prints = materialize(fingerprints(docs, words).drop(ROW), "fingerprints")
+    ids = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = _classes(prints, radius, bucket).join(ids, "fp")
     least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
     return prints.join(nodes.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
+    """The row of the smallest non-null id of each component, the first read if several have it; all columns
+    stay. `docs` must be a plain read of files, whose rows keep their numbers from one pass to the next."""
+    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
+    prints = materialize(fingerprints(rows, words), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", ROW)).alias("first")
+    ids = prints.groupBy("fp").agg(first)
+    kept = _classes(prints, radius, bucket).join(ids, "fp").groupBy("component").agg(F.min("first").alias("first"))
+    return rows.join(kept.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
