@@ -77,24 +77,25 @@ def scan(docs: DataFrame) -> DataFrame:
     for kind, pattern in PATTERNS.items():
         every = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         hits[f"_{kind}"] = F.when(F.contains(text, F.lit(NEEDS[kind])), every) if kind in NEEDS else every
-    found = []
-    for kind, pattern in PATTERNS.items():
-        own = F.col(f"_{kind}")
-
-        def matches(gaps, own=own, kind=kind):
-            return F.transform(own, lambda hit, i: F.struct(
-                F.lit(kind).alias("kind"), i.alias("nth"), F.length(F.get(gaps, i)).alias("gap"), hit.alias("hit"),
-                F.right(F.get(gaps, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(1)).alias("after")))
-
-        gaps = F.split(text, pattern, -1)
-        # A one-element array binds the pieces, so that they are cut once per text.
-        found.append(F.when(F.size(own) > 0, F.flatten(F.transform(F.array(gaps), matches))))
+    # A one-element array binds the pieces, so that they are cut once per text.
+    found = [F.when(F.size(f"_{kind}") > 0, F.flatten(F.transform(F.array(F.split(text, pattern, -1)), _matches(kind))))
+             for kind, pattern in PATTERNS.items()]
     none = F.array().cast("array<struct<kind:string,nth:int,gap:int,hit:string,before:string,after:string>>")
     with_hits = docs.select("*", *[c.alias(n) for n, c in hits.items()])
     return with_hits.select(*[F.col(f"`{c}`") for c in docs.columns],
                             F.concat(*[F.coalesce(f, none) for f in found]).alias("_found"))
 
 
+def _matches(kind: str):
+    """From the pieces of a text to the matches between them."""
+    def of(gaps):
+        return F.transform(f"_{kind}", lambda hit, i: F.struct(
+            F.lit(kind).alias("kind"), i.alias("nth"), F.length(F.get(gaps, i)).alias("gap"), hit.alias("hit"),
+            F.right(F.get(gaps, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(1)).alias("after")))
+
+    return of
+
+
 def _passes(kind: Column, hit: Column) -> Column:
     digits = F.regexp_replace(hit, "[^0-9]", "")
     n = F.length(digits)
@@ -215,6 +216,10 @@ def written(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
 
 
+def number(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind))
+
+
 def _without(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind; of overlapping spans the first stands for all."""
     start = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>").alias("out"))
