@@ -17,6 +17,7 @@ kept; an empty table gives no rows; other columns are ignored by `find` and kept
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -41,7 +42,7 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "key": "AKIA", "ssn": "-"}
 #: What each kind looks like when it is meant seriously.
 STRICT = {
-    "email": r"^[A-Za-z0-9][^@]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}$",
+    "email": r"^[A-Za-z0-9][^@]*+@[^@]*\.[A-Za-z]{2,24}$",
     "ip": r"^(?!0|127\.|255\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}$",
     "card": r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})$",
     "phone": r"^\+[1-9][0-9]{0,2}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}$",
@@ -184,7 +185,9 @@ def fit(spans: DataFrame) -> Model:
     counted = soft.select(F.explode(F.concat("features", F.array(F.lit("")))).alias("feature"), "p").groupBy("feature").agg(
         F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no")).collect()
     total = next(r for r in counted if r.feature == "")
-    weights = {r.feature: math.log((r.yes + 1) / (total.yes + 2)) - math.log((r.no + 1) / (total.no + 2)) for r in counted if r.feature}
+    family = Counter(r.feature.split(" ")[0] for r in counted)     # values that a feature takes
+    weights = {r.feature: math.log((r.yes + 1) / (total.yes + n)) - math.log((r.no + 1) / (total.no + n))
+               for r in counted if r.feature for n in [family[r.feature.split(" ")[0]]]}
     return Model(reliability, weights | {"": math.log((total.yes + 1) / (total.no + 1))})
 
 
