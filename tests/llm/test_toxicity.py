@@ -7,14 +7,14 @@ from trackloom.llm import queries, toxicity
 
 
 def test_held_out_accuracy(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     rows = {r.doc_id: r for r in queries.op10_toxicity(spark, sf).collect()}
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
     for i, r in rows.items():
         assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
     labels = [(rows[r.doc_id].score, r.toxic) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if rows[r.doc_id].held_out]
     toxic, clean = [s for s, y in labels if y], [s for s, y in labels if not y]
-    assert toxic and np.mean([a > b for a in toxic for b in clean]) > 0.97
+    assert toxic and np.mean([a > b for a in toxic for b in clean]) > 0.92 and np.mean(np.array(clean) >= 0.5) < 0.01
     assert np.mean([(s >= 0.5) == bool(y) for s, y in labels]) > 0.95
 
 

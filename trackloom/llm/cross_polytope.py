@@ -25,8 +25,8 @@ from pyspark.sql.window import Window
 
 from .common import materialize, ship
 
-TABLES = 8
-PROBES = 12
+TABLES = 10
+PROBES = 16
 BLOCK = 4096
 QUERIES = 1024
 FOUND = "query_id long, vec_id long, score double"

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import ship
 
 MEMBERS = 4
+MEMBER_POSITIVES = 200     # fewer positives make fewer members
 POSITIVES = 6_000
 UNLABELLED = 12_000
 WORDS = 400
@@ -112,7 +113,7 @@ def _words(batches):
 
 def fit(docs: DataFrame, labels: DataFrame, members: int = MEMBERS, positives: int = POSITIVES,
         unlabelled: int = UNLABELLED, words: int = WORDS, folds: int = 5) -> list[tuple[float, dict[str, float]]]:
-    """The members as (bias, weight by word), at most `members` x `words` numbers."""
+    """Up to `members` classifiers as (bias, weight by word), at most `members` x `words` numbers."""
     ship(docs.sparkSession)
     known = (labels.filter(~held_out(F.col("doc_id"), folds) & F.col("doc_id").isNotNull())
                    .groupBy("doc_id").agg(F.coalesce(F.max("toxic"), F.lit(0)).alias("toxic"))
@@ -121,6 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, members: int = MEMBERS, positives: i
     if not n or not toxic:
         return []
     prior = min(0.95, toxic / n)
+    members = max(1, min(members, min(toxic, positives) // MEMBER_POSITIVES))
     p = known.filter("toxic = 1").orderBy("order", "doc_id").limit(positives).withColumn("positive", F.lit(1))
     u = known.withColumn("order", F.xxhash64(F.col("doc_id"), F.lit(8))).orderBy("order", "doc_id").limit(unlabelled).withColumn("positive", F.lit(0))
     chosen = p.unionByName(u).select("doc_id", "positive", F.pmod("order", F.lit(members)).cast("int").alias("member"))
