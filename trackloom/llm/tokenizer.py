@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CHUNKS = 280_000      # remembered chunks per generation and worker
+CHUNKS = 350_000      # remembered chunks per generation and worker
 LONGEST = 64          # longer chunks are encoded, not remembered
 BATCH_CHARS = 1 << 20
 
@@ -49,7 +49,6 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.ends: dict[str, bytes] = {}      # closing punctuation of at most four characters
-        self.newline = self._whole(["\n"])[0]
         if array("I").itemsize != 4 or sys.byteorder != "little":
             raise RuntimeError("needs little-endian 32-bit unsigned integers")
         # The short way must be this file's own way; a file of another kind never takes it.
@@ -108,8 +107,10 @@ class Encoder:
     def _join(self, chunks: list[str]) -> bytes:
         ids = list(map(self.known.get, chunks))
         if None in ids:
-            found = self._learn({c for c, i in zip(chunks, ids) if i is None})
-            ids = [found[c] if i is None else i for c, i in zip(chunks, ids)]
+            gaps = [i for i, x in enumerate(ids) if x is None]
+            found = self._learn({chunks[i] for i in gaps})
+            for i in gaps:
+                ids[i] = found[chunks[i]]
         return b"".join(ids)
 
     def encode_one(self, text: str | None) -> bytes:
@@ -119,10 +120,10 @@ class Encoder:
             self.older, self.known = self.known, {}
         if self.drops_space:
             return self._join(text.replace("\n", " ").split(" "))
-        if _TWO_SPACES.search(text):
+        if _TWO_SPACES.search(text) or "\0" in text:
             return self._join(_BEFORE_SPACE.split(text))
         # Single white space throughout: a line feed stands alone, a space belongs to what follows it.
-        return self.newline.join([self._join(line.replace(" ", "\n ").split("\n")) for line in text.split("\n")])
+        return self._join(text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0"))
 
 
 @lru_cache(maxsize=4)
