@@ -15,7 +15,7 @@ from trackloom.operators import devices as D
 from trackloom.operators import labels as L
 from trackloom.operators import metrics as M
 from trackloom.operators import split as Sp
-from trackloom.operators.clean import add_step
+from trackloom.operators.clean import steps
 from trackloom.operators.features import build_features
 from trackloom.models.scaler import fit_scaler, scale_statistics
 from trackloom.plans.ordered import forget_pieces
@@ -23,6 +23,7 @@ from trackloom.plans.scratch import materialize, new_path
 from trackloom.plans.search import best_combination
 from trackloom.plans.selection import quantile
 from trackloom.sources import writers as Wr
+from trackloom.schema import FEATURES
 
 LABELLED_SQL = SCORED_SQL + """,
 labelled AS (
@@ -40,7 +41,7 @@ def labelled(spark, sf_dir):
 
 
 def labelled_steps(spark, sf_dir):
-    return L.label(add_step(scored_fixes(spark, sf_dir)))
+    return L.label(steps(scored_fixes(spark, sf_dir)))
 
 
 # ---- thresholds and labels -----------------------------------------------------------------
@@ -49,7 +50,7 @@ def labelled_steps(spark, sf_dir):
 SELECT {r('quantile_cont(anomaly_score, 0.05)', 9)} AS threshold FROM scored"""))
 def score_threshold(spark, sf_dir):
     scores = scored_fixes(spark, sf_dir)
-    return scores.limit(1).select(rounded(quantile(scores, "anomaly_score", 0.05), 9).alias("threshold"))
+    return scores.agg(F.count("*")).select(rounded(quantile(scores, "anomaly_score", 0.05), 9).alias("threshold"))
 
 
 @query(with_sql(LABELLED_SQL, body="SELECT id, anomaly FROM labelled"))
@@ -345,8 +346,7 @@ def time_series_folds(spark, sf_dir):
     return members.select("fold", "id", "role")
 
 
-_SCALE_FEATURES = ("dt", "distance_m", "speed_m_s", "vertical_speed", "acceleration_abs",
-                   "speed_mean_5", "speed_std_9", "hover_flag", "burst_flag", "log_speed")
+_SCALE_FEATURES = tuple(FEATURES)
 
 
 @query(with_sql(FIXES_SQL, stepped("fixes"), features("stepped"), body=" UNION ALL ".join(f"""
@@ -359,16 +359,15 @@ def scale_statistics_by_feature(spark, sf_dir):
     return df.select("feature", rounded(F.col("median")).alias("median"), rounded(F.col("iqr")).alias("iqr"))
 
 
-_SCALED = ("dt", "speed_m_s", "hover_flag")
+_SCALED = tuple(FEATURES)
 
 
 @query(with_sql(FIXES_SQL, stepped("fixes"), features("stepped"), body="""
-, s AS (SELECT median(dt) AS m1, quantile_cont(dt, 0.75) - quantile_cont(dt, 0.25) AS q1,
-               median(speed_m_s) AS m2, quantile_cont(speed_m_s, 0.75) - quantile_cont(speed_m_s, 0.25) AS q2,
-               median(hover_flag::DOUBLE) AS m3,
-               quantile_cont(hover_flag::DOUBLE, 0.75) - quantile_cont(hover_flag::DOUBLE, 0.25) AS q3 FROM featured)
-SELECT id, """ + ", ".join(r(f"({c} - m{i}) / CASE WHEN q{i} > 0 THEN q{i} ELSE 1 END") + f" AS {c}"
-                           for i, c in enumerate(_SCALED, 1)) + " FROM featured, s"))
+, s AS (SELECT """ + ", ".join(f"""median(CAST({c} AS DOUBLE)) AS m{i},
+               quantile_cont(CAST({c} AS DOUBLE), 0.75) - quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q{i}"""
+                               for i, c in enumerate(_SCALED)) + """ FROM featured)
+SELECT id, """ + ", ".join(r(f"(CAST({c} AS DOUBLE) - m{i}) / CASE WHEN q{i} > 0 THEN q{i} ELSE 1 END") + f" AS {c}"
+                           for i, c in enumerate(_SCALED)) + " FROM featured, s"))
 def robust_scaling(spark, sf_dir):
     rows = materialize(build_features(fixes(spark, sf_dir)).select("id", *_SCALED), "features")
     scaled = fit_scaler(rows, _SCALED).transform(rows)

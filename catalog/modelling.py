@@ -21,6 +21,7 @@ from trackloom.operators.features import build_features, clean_features
 from trackloom.plans import jobs
 from trackloom.plans.scratch import materialize, new_path
 from trackloom.plans.search import hyperparameter_search
+from trackloom.plans.selection import quantiles
 from trackloom.schema import FEATURES
 
 WHEN = dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc)
@@ -102,7 +103,7 @@ def feature_importance(spark, sf_dir):
 @query()
 def top_features(spark, sf_dir):
     rows = _features(spark, sf_dir)
-    ranked = Fr.feature_importance(rows, _model(spark, sf_dir, rows=rows), repeats=1)
+    ranked = Fr.feature_importance(rows, _model(spark, sf_dir, rows=rows))
     return M.top_features(ranked, 15)
 
 
@@ -116,13 +117,13 @@ def hyperparameter_grid(spark, sf_dir):
 @query()
 def training_job(spark, sf_dir):
     """Labelled rows of a whole training run, after isolated anomalies went."""
-    result = jobs.train(fixes(spark, sf_dir), "model_a", importance=False, trained_at=WHEN)
+    result = jobs.train(fixes(spark, sf_dir), "model_a", trained_at=WHEN)
     return result.full.select("id", "device_id", ntz(F.col("ts")).alias("ts"), "anomaly_score", "anomaly")
 
 
 @query()
 def training_metrics(spark, sf_dir):
-    result = jobs.train(fixes(spark, sf_dir), "model_a", importance=False, trained_at=WHEN)
+    result = jobs.train(fixes(spark, sf_dir), "model_a", trained_at=WHEN)
     parts = [m.withColumn("rows", F.lit(name)) for name, m in (
         ("test", result.test_metrics), ("test_filtered", result.test_metrics_filtered),
         ("full", result.full_metrics))]
@@ -146,8 +147,9 @@ def _model_folder(spark, sf_dir):
         "kind", F.pmod(F.xxhash64("model_name"), F.lit(3)).cast("int"))
     nodes, meta = [], []
     for kind in range(3):
-        model = Fr.fit_forest(rows, scaler, f"kind_{kind}", n_trees=50, seed=kind, trained_at=WHEN)
-        model = Fr.with_threshold(model, -0.55)
+        model = Fr.fit_forest(rows, scaler, f"kind_{kind}", seed=kind, trained_at=WHEN)
+        scores = materialize(Fr.score(rows, model).select("anomaly_score"), "scores")
+        model = Fr.with_threshold(model, quantiles(scores, {"anomaly_score": [DEFAULT.threshold_quantile]})["anomaly_score"][0])
         nodes.append(model.nodes.drop("model_name").withColumn("kind", F.lit(kind)))
         meta.append(model.meta().drop("model_name").withColumn("kind", F.lit(kind)))
     named = [reduce(DataFrame.unionByName, parts).join(names, "kind").drop("kind") for parts in (nodes, meta)]

@@ -13,7 +13,7 @@ from trackloom.functions import scalars as S
 from trackloom.functions.geo import bearing_deg, haversine_m
 from trackloom.operators import clean as C
 from trackloom.operators.features import build_features, clean_features
-from trackloom.operators.motion import add_motion, derive_motion
+from trackloom.operators.motion import derive_motion, differences
 from trackloom.operators.metrics import recent
 from trackloom.plans.ordered import running_sum
 from trackloom.plans.scratch import new_path
@@ -200,13 +200,13 @@ def coordinate_bounds(spark, sf_dir):
 
 @query(with_sql(FIXES_SQL, stepped("fixes"), body=f"SELECT {PLAIN_SQL}, {r('dt')} AS dt FROM stepped WHERE dt >= 1"))
 def minimum_interval(spark, sf_dir):
-    return _plain(C.add_step(fixes(spark, sf_dir)).filter(C.long_enough()), rounded(F.col("dt")).alias("dt"))
+    return _plain(C.steps(fixes(spark, sf_dir)).filter(C.long_enough()), rounded(F.col("dt")).alias("dt"))
 
 
 @query(with_sql(FIXES_SQL, stepped("fixes"), body=f"""
 SELECT {PLAIN_SQL}, {r('speed_m_s')} AS speed_m_s FROM stepped WHERE speed_m_s <= 40"""))
 def maximum_speed(spark, sf_dir):
-    return _plain(C.add_step(fixes(spark, sf_dir)).filter(C.slow_enough()),
+    return _plain(C.steps(fixes(spark, sf_dir)).filter(C.slow_enough()),
                   rounded(F.col("speed_m_s")).alias("speed_m_s"))
 
 
@@ -320,7 +320,7 @@ def scalar_functions(spark, sf_dir):
 @query(with_sql(FIXES_SQL, stepped("fixes"), body=f"""
 SELECT id, {r('dt')} AS dt, {r('distance_m')} AS distance_m, {r('speed_m_s')} AS speed_m_s FROM stepped"""))
 def track_steps(spark, sf_dir):
-    df = C.add_step(fixes(spark, sf_dir))
+    df = C.steps(fixes(spark, sf_dir))
     return df.select("id", *[rounded(F.col(c)).alias(c) for c in ("dt", "distance_m", "speed_m_s")])
 
 
@@ -329,7 +329,7 @@ SELECT id, {r('delta_lat', 9)} AS delta_lat, {r('delta_lon', 9)} AS delta_lon, {
        {r('(bearing_signed + 360) % 360')} AS bearing, {r('speed_change')} AS speed_change,
        {r('acceleration')} AS acceleration, {r('vertical_speed')} AS vertical_speed FROM motion"""))
 def track_differences(spark, sf_dir):
-    df = add_motion(fixes(spark, sf_dir))
+    df = differences(fixes(spark, sf_dir))
     return df.select("id", *[rounded(F.col(c), 9).alias(c) for c in ("delta_lat", "delta_lon")],
                      *[rounded(F.col(c)).alias(c) for c in (
                          "delta_alt", "bearing", "speed_change", "acceleration", "vertical_speed")])
@@ -339,7 +339,7 @@ def track_differences(spark, sf_dir):
 SELECT id, {r('sum(distance_m) OVER (PARTITION BY device_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING)', 4)}
   AS cumulative_distance FROM stepped"""))
 def cumulative_distance(spark, sf_dir):
-    df = running_sum(C.add_step(fixes(spark, sf_dir)), "distance_m", "cumulative_distance")
+    df = running_sum(C.steps(fixes(spark, sf_dir)), "distance_m", "cumulative_distance")
     return df.select("id", rounded(F.col("cumulative_distance"), 4).alias("cumulative_distance"))
 
 

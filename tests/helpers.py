@@ -4,7 +4,7 @@ import datetime as dt
 from trackloom.config import DEFAULT
 
 # Every device is "hot" and every input "large": the scale-out ways on tiny data.
-CUT = dataclasses.replace(DEFAULT, small_input_bytes=0, hot_device_rows=150, small_sort_bytes=0,
+CUT = dataclasses.replace(DEFAULT, hot_device_rows=150, small_sort_rows=0,
                           bracket_rows=20, sketch_accuracy=100, polyline_points=7)
 
 START = dt.datetime(2024, 3, 3, 23, 59, 0, tzinfo=dt.timezone.utc)  # a Sunday, just before midnight

@@ -42,10 +42,10 @@ class TrackConfig:
     search_samples: tuple[int | str, ...] = ("auto", 256, 512)
     search_contamination: tuple[float, ...] = (0.01, 0.05, 0.1)
 
-    # Physical knobs: they change plans, never results.
+    # Physical knobs: they change plans; results only in the last digits of long sums, and in the shape of
+    # polylines, whose rows hold at most `polyline_points` points.
     hot_device_rows: int = 5_000_000       # a device with more fixes is cut into pieces
-    small_input_bytes: int = 64 << 20      # below this estimate no device can be hot
-    small_sort_bytes: int = 64 << 20       # built-in percentile / sort up to this estimate
+    small_sort_rows: int = 1_000_000       # built-in percentile up to this many counted rows
     sketch_accuracy: int = 10_000          # percentile_approx accuracy while bracketing
     bracket_rows: int = 1_000              # bracket small enough to read out
     broadcast_rows: int = 1_000_000        # largest key list sent with broadcast()

@@ -36,18 +36,23 @@ def burst_flag(acceleration_abs: Column, speed_change_abs: Column,
 
 
 def utc_hour(ts: Column) -> Column:
-    return F.hour(ts)
+    return F.pmod(F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(3_600_000_000)), F.lit(24)).cast("int")
 
 
 def monday_zero_weekday(ts: Column) -> Column:
-    return F.weekday(ts)
+    days = F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(86_400_000_000))
+    return F.pmod(days + 3, F.lit(7)).cast("int")   # day 0 was a Thursday
 
 
 def parse_utc(text: Column) -> Column:
-    """Timestamps as text, with or without offset; zoneless text counts as UTC."""
+    """Timestamps as text, with or without offset; zoneless text counts as UTC in any session."""
+    said = F.trim(text)
+    zoned = said.rlike(r"(?i):.*(?:z|utc|gmt|[+-][0-9]{1,2}:?[0-9]{2})$")
     return F.coalesce(
-        F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ssZ")),
-        F.try_to_timestamp(text),
+        F.try_to_timestamp(said, F.lit("yyyy-MM-dd HH:mm:ssZ")),
+        F.when(zoned, F.try_to_timestamp(said)),
+        F.when(~zoned, F.try_to_timestamp(F.concat(said, F.lit("Z")))),
+        F.when(~zoned, F.try_to_timestamp(F.concat(said, F.lit(" 00:00:00Z")))),
     )
 
 

@@ -20,8 +20,6 @@ from trackloom.plans.scratch import materialize
 from trackloom.schema import MODEL_META, NODES
 from trackloom.session import ship
 
-LARGEST_SAMPLE = 1 << 16   # rows per tree; bounds the group and the broadcast
-_SPARE = 1.6               # over-draw so that every tree reaches its size
 _TREE_COLUMNS = [f for f in NODES if f.name != "model_name"]
 
 
@@ -51,7 +49,7 @@ class Model:
 
 def sample_size(rows: int, max_samples: int | str, cfg: TrackConfig = DEFAULT) -> int:
     wanted = cfg.auto_samples if max_samples == "auto" else int(max_samples)
-    if not 0 < wanted <= LARGEST_SAMPLE:
+    if wanted <= 0:
         raise ValueError(f"max_samples: {max_samples!r}")
     return min(wanted, rows)
 
@@ -62,22 +60,25 @@ def _unit_hash(*parts: Column) -> Column:
 
 
 def draw_samples(rows: DataFrame, n: int, psi: int, n_trees: int, seed: int) -> DataFrame:
-    """``psi`` distinct rows per tree: (tree_id, id, ...). ``rows`` has an ``id``."""
+    """The ``min(psi, n)`` rows of smallest hash for each tree: (tree_id, id, ...). ``rows`` has an ``id``.
+
+    Whether a row can be among them is decided by its hash alone, at a rate that leaves a wide margin; if a
+    tree still came out short, all trees are drawn again at twice the rate. The rate never shows in the result.
+    """
     key, salt = F.col("id"), F.lit(seed)
-    share = _SPARE * psi / n                       # of all rows, per tree
-    if share >= 0.25:
-        # Few rows: every (row, tree) pair is decided on its own.
+    wanted = min(psi, n)
+    if not wanted:
+        raise ValueError("no rows to draw from")
+    rate = (psi + 8 * math.sqrt(psi) + 32) / n
+    while True:
         trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                         lambda t: _unit_hash(key, t, salt) < F.lit(min(1.0, share)))
-        drawn = rows.withColumn("tree_id", F.explode(trees))
-    else:
-        # Many rows: thin them to what is needed, then deal each row out a few times.
-        times = share * n_trees
-        kept = rows.filter(_unit_hash(key, salt, F.lit("row")) < F.lit(min(1.0, times)))
-        deals = F.transform(F.sequence(F.lit(1), F.lit(math.ceil(times))), lambda k: F.pmod(
-            F.xxhash64(key, k, salt, F.lit("tree")), F.lit(n_trees)).cast("int"))
-        drawn = kept.withColumn("tree_id", F.explode(F.array_distinct(deals)))
-    place = Window.partitionBy("tree_id").orderBy(F.xxhash64(key, "tree_id", salt), key)
+                         lambda t: _unit_hash(key, t, salt) < F.lit(min(1.0, rate)))
+        drawn = materialize(rows.withColumn("tree_id", F.explode(trees)), "drawn")
+        full = drawn.groupBy("tree_id").count().filter(F.col("count") >= wanted).count()
+        if full == n_trees or rate >= 1:
+            break
+        rate *= 2
+    place = Window.partitionBy("tree_id").orderBy(_unit_hash(key, F.col("tree_id"), salt), key)
     return (drawn.withColumn("_place", F.row_number().over(place))
                  .filter(F.col("_place") <= psi).drop("_place"))
 
@@ -175,7 +176,10 @@ def score_by_stored_model(df: DataFrame, nodes: DataFrame, meta: DataFrame,
     sizes = df.groupBy("model_name").agg(F.count(F.lit(1)).alias("_rows"))
     groups = meta.select("model_name", "features", "median", "iqr", "psi").join(sizes, "model_name")
     groups = groups.withColumn("_groups", F.ceil(F.col("_rows") / F.lit(cfg.scoring_group_rows)).cast("int"))
-    names = meta.select("features").first()["features"]
+    kinds = meta.select("features").distinct().limit(2).collect()
+    if len(kinds) != 1:
+        raise ValueError("models scored together must use the same features")
+    names = kinds[0]["features"]
     left = (df.join(groups.select("model_name", "_groups"), "model_name")
               .withColumn("_slot", F.pmod(F.xxhash64("id"), F.col("_groups")).cast("int")).drop("_groups"))
     right = (nodes.join(groups.drop("_rows"), "model_name")
@@ -196,6 +200,7 @@ def score_by_stored_model(df: DataFrame, nodes: DataFrame, meta: DataFrame,
 
     scored = (left.groupBy("model_name", "_slot")
                   .cogroup(right.groupBy("model_name", "_slot")).applyInPandas(one_group, schema))
+    scored = scored.withColumn(out, F.when(~F.isnan(out), F.col(out)))
     rest = df.join(groups.select("model_name"), "model_name", "left_anti")
     return scored.unionByName(rest.withColumn(out, F.lit(None).cast("double")).select(*columns, out))
 

@@ -62,9 +62,13 @@ def add_step(df: DataFrame) -> DataFrame:
               .drop("_p"))
 
 
+def steps(df: DataFrame, cfg: TrackConfig = DEFAULT) -> DataFrame:
+    """``add_step`` with hot devices cut into pieces, whose numbers stay on the rows."""
+    return drop_lookback(add_step(with_lookback(cut_hot_devices(df, cfg), 1)))
+
+
 def _stepped(df: DataFrame, cfg: TrackConfig) -> DataFrame:
-    usable = cut_hot_devices(df.filter(positions_usable(cfg)), cfg)
-    return drop_lookback(add_step(with_lookback(usable, 1)))
+    return steps(df.filter(positions_usable(cfg)), cfg)
 
 
 def clean_pieces(df: DataFrame, cfg: TrackConfig = DEFAULT) -> DataFrame:

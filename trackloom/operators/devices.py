@@ -82,7 +82,8 @@ def row_count(tracks: DataFrame, devices: DataFrame, selection: DataFrame) -> Da
 
 def assign_model(devices: DataFrame, assigned: DataFrame) -> DataFrame:
     """Upsert (device_name, if_model): known names get the model, unknown names a new row."""
-    new = assigned.select("device_name", F.col("if_model").alias("_model"))
+    placed = assigned.select("device_name", "if_model", F.monotonically_increasing_id().alias("_row"))
+    new = placed.groupBy("device_name").agg(F.max_by("if_model", "_row").alias("_model"))  # the last of equal names
     return (devices.join(new, "device_name", "full_outer")
             .withColumn("if_model", F.coalesce("_model", "if_model")).drop("_model")
             .select(*devices.columns))
@@ -95,9 +96,9 @@ def assign_to_selection(devices: DataFrame, selection: DataFrame, model_name: st
 
 
 def polylines(df: DataFrame, order: str = "ts", cfg: TrackConfig = DEFAULT) -> DataFrame:
-    """Ordered positions per device, in rows of at most ``polyline_points`` points.
+    """Ordered positions per device, always in rows of at most ``polyline_points`` points.
 
-    Ordinary devices have the single segment 0; long tracks continue in segments 1, 2, ...
+    The points of a device are those of its segments 0, 1, 2, ... in turn; ``polyline_points`` decides the shape.
     """
     by = ("ts", "id") if order == "ts" else ("id",)
     ranked = device_rank(cut_hot_devices(df, cfg, by), "_rank", by)

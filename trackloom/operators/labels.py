@@ -25,6 +25,7 @@ def label_below(df: DataFrame, threshold: Column) -> DataFrame:
 def device_quantiles(df: DataFrame, q: float, cfg: TrackConfig = DEFAULT) -> DataFrame:
     """Exact interpolated score quantile of every device, by rank within the device."""
     order = ("anomaly_score", "id")
+    df = df.filter(F.col("anomaly_score").isNotNull())
     cut = cut_hot_devices(df.select("device_id", *order), cfg, order)
     ranked = device_size(device_rank(cut, "_rank", order), "_size")
     at = F.lit(q) * (F.col("_size") - 1)

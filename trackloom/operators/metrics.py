@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trackloom.config import DEFAULT, TrackConfig
 from trackloom.operators.labels import is_anomaly
+from trackloom.plans.scratch import materialize
 
 # The features whose distributions are reported, and the bins per label.
 HISTOGRAM_FEATURES = ("speed_m_s", "vertical_speed", "acceleration_abs",
@@ -64,10 +65,12 @@ def anomaly_heat(df: DataFrame, cell_degrees: float = 0.001) -> DataFrame:
 
 
 def density_histogram(df: DataFrame, features: Sequence[str] = HISTOGRAM_FEATURES) -> DataFrame:
-    """Equal-width density per feature and label; empty bins are listed with density 0."""
-    long = df.select("anomaly", F.explode(F.array(*[
+    """Equal-width density per feature and label; empty bins are listed with density 0. Nulls and NaN count nowhere."""
+    rows = materialize(df.select("anomaly", *features), "histogram")  # read twice: for the ranges and for the bins
+    long = rows.select("anomaly", F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
         for c in features])).alias("e")).select("anomaly", "e.feature", "e.value")
+    long = long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
     flat = F.col("low") == F.col("high")
     ranges = (long.groupBy("feature", "anomaly")
               .agg(F.min("value").alias("low"), F.max("value").alias("high"),

@@ -41,6 +41,11 @@ def add_motion(df: DataFrame, given: frozenset[str] = frozenset(),
     return df.withColumn("vertical_speed", ratio_or_zero(F.col("delta_alt"), F.col("dt")))
 
 
+def differences(df: DataFrame) -> DataFrame:
+    """``add_motion`` with hot devices cut into pieces, whose numbers stay on the rows."""
+    return drop_lookback(add_motion(with_lookback(cut_hot_devices(df), 2)))
+
+
 def derive_motion(df: DataFrame, cfg: TrackConfig = DEFAULT) -> DataFrame:
     """The derived track table: differences, speed, signed bearing, acceleration, odometer."""
     cut = cut_hot_devices(df, cfg)

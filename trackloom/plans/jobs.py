@@ -106,8 +106,19 @@ def score_batch(new_fixes: DataFrame, devices: DataFrame, model_folder: str,
     Nothing is cleaned away. Rows whose device has no stored model are left out, like
     `devices_without_model` reports. ``fixed`` uses the threshold saved with each model.
     """
+    labelled = label_batch(new_fixes, devices, model_folder, mode, cfg, featured)
+    return filter_isolated(labelled, cfg=cfg)
+
+
+def label_batch(new_fixes: DataFrame, devices: DataFrame, model_folder: str, mode: str = "fixed",
+                cfg: TrackConfig = DEFAULT, featured: bool = False) -> DataFrame:
+    """Scores and labels of ``score_batch`` before isolated anomalies go, as a written table."""
     spark = new_fixes.sparkSession
     meta = fr.stored_meta(spark, model_folder)
+    if mode == "fixed":
+        bare = [r[0] for r in meta.filter("threshold IS NULL").select("model_name").limit(5).collect()]
+        if bare:
+            raise ValueError(f"models without a threshold cannot label in mode 'fixed': {bare}")
     known = meta.select("model_name", F.col("threshold").alias("_cut"))
     wide = new_fixes if featured else build_features(new_fixes, cfg)
     named = with_model(wide, devices).join(known, "model_name", "inner")
@@ -124,7 +135,7 @@ def score_batch(new_fixes: DataFrame, devices: DataFrame, model_folder: str,
             "anomaly", F.when(F.col("anomaly_score") < F.col("_cut"), -1).otherwise(1))
     else:
         labelled = label(materialize(scored, "scores"), mode, cfg=cfg)
-    return filter_isolated(labelled.drop("_cut"), cfg=cfg)
+    return materialize(labelled.drop("_cut"), "labelled")
 
 
 def anomaly_count(rows: DataFrame) -> DataFrame:
@@ -146,8 +157,12 @@ def train_and_assign(fixes: DataFrame, devices: DataFrame, selection: DataFrame,
 def retrain(history: DataFrame, new: DataFrame, model_name: str,
             features: Sequence[str] | None = None, days: int | None = None,
             cfg: TrackConfig = DEFAULT) -> Model:
-    """Fresh scaler and forest on the last days of history and new rows together."""
+    """Fresh scaler, forest and threshold on the last days of history and new rows together."""
     both = history.unionByName(new, allowMissingColumns=True)
     rows = materialize(recent(both, cfg.retrain_window_days if days is None else days), "recent")
+    rows = require_rows(rows, 1, "recent rows")
     scaler = fit_scaler(rows, features or feature_names(cfg.rolling_windows), cfg)
-    return fr.fit_forest(rows, scaler, model_name, cfg=cfg)
+    model = fr.fit_forest(rows, scaler, model_name, cfg=cfg)
+    scores = materialize(fr.score(rows, model).select("anomaly_score"), "scores")
+    cut = quantiles(scores, {"anomaly_score": [cfg.threshold_quantile]}, cfg)["anomaly_score"][0]
+    return fr.with_threshold(model, cut)

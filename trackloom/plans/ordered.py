@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from trackloom.config import DEFAULT, TrackConfig
-from trackloom.plans.scratch import estimated_bytes, materialize
+from trackloom.plans.scratch import materialize
 
 PIECE = "_piece"
 COPY = "_copy"
@@ -44,7 +44,7 @@ def track(df: DataFrame, order: Sequence[str] = TIME_ORDER) -> WindowSpec:
 def cut_hot_devices(df: DataFrame, cfg: TrackConfig = DEFAULT,
                     order: Sequence[str] = TIME_ORDER) -> DataFrame:
     """Add a piece number if some device is too large for one task; otherwise return df as is."""
-    if is_cut(df) or estimated_bytes(df) <= cfg.small_input_bytes:
+    if is_cut(df) or df.count() <= cfg.hot_device_rows:   # fewer rows in all than make one device hot
         return df
     hot = materialize(
         df.groupBy("device_id").agg(F.count(F.lit(1)).alias("rows"))

@@ -18,11 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.config import DEFAULT, TrackConfig
-from trackloom.plans.scratch import estimated_bytes
-
-
-def is_small(df: DataFrame, cfg: TrackConfig = DEFAULT) -> bool:
-    return estimated_bytes(df) <= cfg.small_sort_bytes
 
 
 @dataclass
@@ -157,9 +152,9 @@ def quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]],
     """Exact linearly interpolated quantiles of several columns, as driver-side numbers."""
     columns = list(wanted)
     df = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    if is_small(df, cfg):
-        return _small_quantiles(df, wanted)
     counts = df.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
+    if max(counts.values()) <= cfg.small_sort_rows:
+        return _small_quantiles(df, wanted)
     ranks = []
     for c in columns:
         for q in wanted[c]:
@@ -170,7 +165,9 @@ def quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]],
     for c in columns:
         for q in wanted[c]:
             low, high, at = next(values), next(values), q * max(counts[c] - 1, 0)
-            out[c].append(None if low is None else low + (high - low) * (at - math.floor(at)))
+            # The formula of the built-in percentile, so that both ways give the same digits.
+            flat = low is None or low == high or at == math.floor(at)
+            out[c].append(low if flat else (math.ceil(at) - at) * low + (at - math.floor(at)) * high)
     return out
 
 
@@ -186,9 +183,9 @@ def _small_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> di
 
 
 def quantile(df: DataFrame, column: str, q: float, cfg: TrackConfig = DEFAULT) -> Column:
-    """One quantile as a Column: a scalar subquery for small inputs, else an exact literal."""
+    """One quantile as a Column: a scalar subquery for few rows, else an exact literal; both give the same digits."""
     narrow = df.select(F.col(column).cast("double").alias(column))
-    if is_small(narrow, cfg):
+    if narrow.count() <= cfg.small_sort_rows:
         return narrow.agg(F.percentile(column, q).alias("q")).scalar()
     return F.lit(quantiles(narrow, {column: [q]}, cfg)[column][0]).cast("double")
 
@@ -203,9 +200,6 @@ def row_key_at(df: DataFrame, rank: int, order: Sequence[str],
     if rank < 0:
         return None
     keyed = df.select(*[_number(df, c) for c in order])
-    if is_small(keyed, cfg):
-        row = keyed.orderBy(*order).offset(rank).limit(1).first()
-        return tuple(row) if row else None
     key = []
     for c in order:
         [value] = order_statistics(keyed, [(c, rank)], cfg)

@@ -33,13 +33,23 @@ def append_fixes(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def apply_labels(fixes: DataFrame, labels: DataFrame) -> DataFrame:
-    """New snapshot of ``fixes`` with the given (id, anomaly) labels; other columns untouched."""
-    new = labels.select("id", F.col("anomaly").alias("_label"))
+    """New snapshot of ``fixes`` with the given (id, anomaly) labels; other columns untouched.
+
+    Of several labels for an id the last counts: by ``batch_id`` if there is one, else by row order.
+    """
+    new = last_of_each(labels.filter(F.col("id").isNotNull()), "id", "anomaly").withColumnRenamed("anomaly", "_label")
     return (fixes.join(new, "id", "left")
             .withColumn("anomaly", F.coalesce("_label", "anomaly")).drop("_label")
             .select(*fixes.columns))
 
 
+def last_of_each(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """One row per key: its value of the highest ``batch_id``, and among equals of the last row."""
+    batch = F.col("batch_id") if "batch_id" in rows.columns else F.lit(0)
+    placed = rows.select(key, value, batch.alias("_batch"), F.monotonically_increasing_id().alias("_row"))
+    return placed.groupBy(key).agg(F.max_by(value, F.struct("_batch", "_row")).alias(value))
+
+
 def unknown_labels(fixes: DataFrame, labels: DataFrame) -> DataFrame:
     """Labels whose id the fact table does not have; an upsert could not insert them."""
     return labels.join(fixes.select("id"), "id", "left_anti")
