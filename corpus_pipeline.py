@@ -11,17 +11,15 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from trackloom.llm import decontaminate, packing, pii, simhash, toxicity
-from trackloom.llm.common import materialize, same_columns
+from trackloom.llm.common import materialize, whole
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifiers hold toxic go."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")     # its own `score`, if it has one
-    return same_columns(toxicity.score(docs.select(whole, "text"), model).filter("score < 0.5").select("doc.*"), docs)
+    return toxicity.score(docs.select(whole(docs), "text"), model).filter("score < 0.5").select("_doc.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trackloom.plans.scratch import materialize, new_path
 from trackloom.session import ship
 
-__all__ = ["keyed", "materialize", "new_path", "partition_id", "same_columns", "ship"]
+__all__ = ["keyed", "materialize", "new_path", "partition_id", "ship", "whole"]
 
 ROW = "_row"
 
@@ -25,9 +25,6 @@ def partition_id() -> int:
     return TaskContext.get().partitionId()
 
 
-def same_columns(df: DataFrame, like: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in like.columns])
-
-
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit("")).alias(name)
+def whole(df: DataFrame) -> Column:
+    """All columns in one, so that none clashes with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc")

@@ -47,13 +47,13 @@ def similar_lines(lines: DataFrame, least: float = LEAST) -> DataFrame:
     templates = F.broadcast(spark.createDataFrame(sorted(TEMPLATES.items()), "license string, notice string"))
     words = materialize(lines.select("line", "n", F.explode(_words("line")).alias("word"))
                              .groupBy("line", "n", "word").agg(F.count("*").alias("tf")), "licence-words")
-    total = lines.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    total = lines.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).scalar()
     common = words.groupBy("word").agg(F.sum("n").alias("df"))
-    idf = F.log((1 + F.col("total")) / (1 + F.coalesce("df", F.lit(0)))) + 1
+    idf = F.log((1 + total) / (1 + F.coalesce("df", F.lit(0)))) + 1
     notices = (templates.select("license", F.explode(_words("notice")).alias("word")).groupBy("license", "word").agg(F.count("*").alias("tf"))
-               .join(common, "word", "left").crossJoin(F.broadcast(total)).select("license", "word", (F.col("tf") * idf).alias("b")))
+               .join(common, "word", "left").select("license", "word", (F.col("tf") * idf).alias("b")))
     notices = notices.join(notices.groupBy("license").agg(F.sqrt(F.sum(F.col("b") * F.col("b"))).alias("b_norm")), "license")
-    weighed = words.join(common, "word").crossJoin(F.broadcast(total)).select("line", "word", (F.col("tf") * idf).alias("a"))
+    weighed = words.join(common, "word").select("line", "word", (F.col("tf") * idf).alias("a"))
     norm = weighed.groupBy("line").agg(F.sqrt(F.sum(F.col("a") * F.col("a"))).alias("a_norm"))
     dots = weighed.join(F.broadcast(notices), "word").groupBy("line", "license", "b_norm").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
     near = dots.join(norm, "line").select("line", "license", F.round(F.col("dot") / (F.col("a_norm") * F.col("b_norm")), 6).alias("similarity"))

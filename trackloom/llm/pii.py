@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, whole
 
 BASE = ("email", "ip", "card", "phone")
 
@@ -71,7 +71,7 @@ def _order(kind: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """All columns and `_found`: per match its kind, number, the length of the text since the match before,
+    """All columns, whose names must not start with an underscore but for _doc, and `_found`: per match its kind, number, the length of the text since the match before,
     itself, and what stands around it."""
     text = F.coalesce(F.col("text"), F.lit(""))
     hits = {}
@@ -252,14 +252,14 @@ def _without(text: Column, spans: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """All rows and columns of `docs`; spans in `text` are replaced by their kind in brackets. Only rows with a
     match are shuffled. A column n_chars gets the new length."""
-    scanned = scan(docs)
+    scanned = scan(docs.select(whole(docs), "text"))
     some = materialize(scanned.filter(F.size("_found") > 0).withColumn("_row", F.monotonically_increasing_id()), "pii-rows")
     spans = proposals(some)
     kept = _listed(decide(spans, fit(spans)))
     texts = some.drop("_found").join(kept, "_row", "left").drop("_row")
-    clean = F.when(F.size("spans") > 0, _without(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    done = texts.withColumn("text", clean).drop("spans")
+    done = texts.withColumn("text", F.when(F.size("spans") > 0, _without(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return scanned.filter(F.size("_found") == 0).select(*names).union(done.select(*names))
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    changed = done.select(*[new.get(c, F.col(f"_doc.`{c}`")) for c in docs.columns])
+    return scanned.filter(F.size("_found") == 0).select("_doc.*").union(changed)

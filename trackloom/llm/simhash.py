@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, materialize, ship
+from .common import ROW, materialize, ship, whole
 from .components import components
 
 BUCKET = 4096
@@ -189,12 +189,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, bucket: in
 def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
     """The row of the smallest non-null id of each component, the first read if several have it; all columns
     stay. `docs` must be a plain read of files, whose rows keep their numbers from one pass to the next."""
-    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
+    rows = docs.select(whole(docs), "doc_id", "text", F.monotonically_increasing_id().alias(ROW))
     prints = materialize(fingerprints(rows, words), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", ROW)).alias("first")
     ids = prints.groupBy("fp").agg(first)
     kept = _classes(prints, radius, bucket).join(ids, "fp").groupBy("component").agg(F.min("first").alias("first"))
-    return rows.join(kept.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(kept.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_semi").select("_doc.*")
 
 
 def as_hex(fp: Column) -> Column:
