@@ -18,7 +18,6 @@ import numpy as np
 
 CHUNKS = 350_000      # remembered chunks per generation and worker
 LONGEST = 64          # longer chunks are encoded, not remembered
-BATCH_CHARS = 1 << 20
 
 _TWO_SPACES = re.compile(r"\s\s")
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?=\s)")
@@ -32,6 +31,19 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class _Known(dict):
+    """Ids by chunk; a chunk that is not there is learnt, and kept unless it is long."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.learn(chunk)
+        if len(chunk) <= LONGEST:
+            self[chunk] = ids
+        return ids
+
+
 class Encoder:
     """``encode_one(text)`` gives the bytes of its ids; null counts as empty."""
 
@@ -46,8 +58,7 @@ class Encoder:
         self.drops_space = normal is not None and not self._whole([" "])[0]
         if normal is not None and not self.drops_space:
             raise ValueError("only files that drop white space may normalise")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known, self.older = _Known(self._learn), {}
         self.ends: dict[str, bytes] = {}      # closing punctuation of at most four characters
         if array("I").itemsize != 4 or sys.byteorder != "little":
             raise RuntimeError("needs little-endian 32-bit unsigned integers")
@@ -60,8 +71,10 @@ class Encoder:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
 
     def _piece(self, piece: str) -> bytes:
-        if not piece.isascii() or piece[0] == " ":
+        if not piece.isascii():
             piece = piece.encode().decode("latin-1").translate(self.letters)
+        elif piece[0] == " ":       # other ASCII letters stand for themselves
+            piece = self.letters[32] + piece[1:]
         return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def _plain(self, parts: re.Match) -> bytes:
@@ -84,40 +97,20 @@ class Encoder:
             ids += closing
         return ids
 
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of every chunk asked for; they are remembered unless the chunk is long."""
-        found, hard = {}, []
-        for chunk in new:
-            ids = self.older.get(chunk)
-            if ids is None and self.short and (parts := _PLAIN.fullmatch(chunk)):
-                ids = self._plain(parts)
-            if ids is None:
-                hard.append(chunk)
-            else:
-                found[chunk] = ids
-        start = size = 0
-        for end, chunk in enumerate(hard, 1):
-            size += len(chunk)
-            if size >= BATCH_CHARS or end == len(hard):
-                found.update(zip(hard[start:end], self._whole(hard[start:end])))
-                start, size = end, 0
-        self.known.update((c, i) for c, i in found.items() if len(c) <= LONGEST)
-        return found
+    def _learn(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None and self.short and (parts := _PLAIN.fullmatch(chunk)):
+            ids = self._plain(parts)
+        return self._whole([chunk])[0] if ids is None else ids
 
     def _join(self, chunks: list[str]) -> bytes:
-        ids = list(map(self.known.get, chunks))
-        if None in ids:
-            gaps = [i for i, x in enumerate(ids) if x is None]
-            found = self._learn({chunks[i] for i in gaps})
-            for i in gaps:
-                ids[i] = found[chunks[i]]
-        return b"".join(ids)
+        return b"".join(map(self.known.__getitem__, chunks))
 
     def encode_one(self, text: str | None) -> bytes:
         if not text:
             return b""
         if len(self.known) > CHUNKS:
-            self.older, self.known = self.known, {}
+            self.older, self.known = dict(self.known), _Known(self._learn)
         if self.drops_space:
             return self._join(text.replace("\n", " ").split(" "))
         if _TWO_SPACES.search(text) or "\0" in text:
