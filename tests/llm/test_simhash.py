@@ -38,12 +38,10 @@ def test_covering_meets_every_pair_at_every_level():
     for _ in range(300):
         diff = sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4)))
         fixed = 0
-        while fixed != 2**64 - 1 and (64 - fixed.bit_count()) > 4:
+        while 64 - fixed.bit_count() > simhash.LAST_FREE:
             masks = [m for m in simhash.covering(4, fixed) if not m & diff]
-            assert masks
-            finer = masks[0]
-            assert (64 - finer.bit_count()) <= 0.56 * (64 - fixed.bit_count()) + 2
-            fixed = finer
+            assert masks and all(64 - m.bit_count() <= (64 - fixed.bit_count()) * 2 / 3 for m in simhash.covering(4, fixed))
+            fixed = masks[0]
 
 
 def test_query_equals_brute_force(spark, sf_dir, texts):

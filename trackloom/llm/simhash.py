@@ -8,8 +8,8 @@ meets in that table: none is missed, by construction.
 
 Equal fingerprints are one node. A bucket of up to ``bucket`` nodes gives a spanning forest of its verified
 links, never all pairs. A fuller bucket is dealt out again by covering masks over the positions that its
-mask leaves free; each level halves those, so at the latest after four levels a bucket holds at most 16
-nodes. No bucket is cut or sampled.
+mask leaves free; each level fixes at least a third of them. With twelve or fewer left free a bucket cannot hold
+more than 4096 nodes and is done as it is. No bucket is cut or sampled.
 
 Null text counts as empty; without words the fingerprint is zero and linked like any other. Null ids are
 kept and take part in links; a component's id is its smallest non-null id. Repeated rows all come out.
@@ -29,6 +29,8 @@ from .components import components
 
 BUCKET = 4096
 HASHES = 1 << 16
+STRIDE = 9         # spreads the vectors of few positions over all their bits
+LAST_FREE = 12     # a bucket with so few free positions is bounded by itself
 
 
 def fingerprint(text: bytes | None, words: int, seed: int = 42) -> int:
@@ -77,7 +79,7 @@ def covering(radius: int, fixed: int = 0) -> tuple[int, ...]:
     most `radius` of the other positions."""
     free = [b for b in range(64) if not fixed >> b & 1]
     vectors = (1 << (radius + 1)) - 1
-    masks = {fixed | sum(1 << b for i, b in enumerate(free) if (i % vectors + 1 & v).bit_count() & 1) for v in range(1, vectors + 1)}
+    masks = {fixed | sum(1 << b for i, b in enumerate(free) if (i * STRIDE % vectors + 1 & v).bit_count() & 1) for v in range(1, vectors + 1)}
     return tuple(sorted(masks))
 
 
@@ -158,7 +160,8 @@ def links(nodes: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
     dealt = nodes.select("fp", F.explode(masks).alias("mask")).select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp")
     found = None
     while True:
-        full = materialize(dealt.groupBy("mask", "key").count().filter(F.col("count") > bucket).select("mask", "key"), "full-buckets")
+        full = materialize(dealt.groupBy("mask", "key").count()
+                           .filter((F.col("count") > bucket) & (F.bit_count("mask") < 64 - LAST_FREE)).select("mask", "key"), "full-buckets")
         some = not full.isEmpty()
         light = dealt.join(full, ["mask", "key"], "left_anti") if some else dealt
         here = (light.repartition("mask", "key").sortWithinPartitions("mask", "key").select("mask", "key", "fp")
