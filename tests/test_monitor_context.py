@@ -13,7 +13,7 @@ from trackloom.models.scaler import Scaler
 from trackloom.operators import labels as L
 from trackloom.operators.metrics import density_histogram
 from trackloom.plans import jobs
-from trackloom.plans.scratch import materialize, new_path
+from trackloom.plans.scratch import exists, materialize, new_path, scope
 from trackloom.sources.writers import apply_labels, latest_labels
 from trackloom.streaming.monitor import with_context
 
@@ -90,3 +90,11 @@ def test_times_are_utc_in_any_session(spark):
         spark.conf.set("spark.sql.session.timeZone", zone)
     at = int(START.timestamp())
     assert got == [(at, 23, 6)] * 4 + [(at + 60, 0, 0), (None, None, None)]
+
+
+def test_a_scope_deletes_its_tables(spark):
+    with scope(spark):
+        path = new_path(spark, "gone")
+        spark.range(3).write.parquet(path)
+        assert exists(spark, path)
+    assert not exists(spark, path)

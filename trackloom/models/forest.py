@@ -216,43 +216,31 @@ def permuted_scores(rows: DataFrame, model: Model, repeats: int, n: int,
                     cfg: TrackConfig = DEFAULT) -> DataFrame:
     """(feature, repeat, mean baseline score, mean score with that feature permuted).
 
-    A repeat orders the rows of each random block by a hash and hands every row the values of
-    the next row in its block, a permutation needing one shuffle and no join. Tasks return
-    sums only.
+    One shuffle deals the rows into random blocks; each block is permuted for all repeats in its task, which
+    returns sums only. Blocks hold about ``shuffle_block_rows`` rows at most, and there are at least 64.
     """
-    features = model.scaler.features
-    blocks = max(1, math.ceil(n / cfg.shuffle_block_rows))
-    key = F.xxhash64("id", "repeat", F.lit(model.seed))
-    ring = Window.partitionBy("repeat", "_block").orderBy("_key", "id")
-    own = F.struct(*[F.col(c).cast("double").alias(c) for c in features])
-    head = F.first("own").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    paired = (rows.select("id", own.alias("own"))
-              .withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-              .withColumn("_key", key)
-              .withColumn("_block", F.pmod(F.xxhash64("_key"), F.lit(blocks)))
-              .withColumn("donor", F.coalesce(F.lead("own").over(ring), head))
-              .select("repeat",
-                      *[F.col(f"own.{c}").alias(f"o{i}") for i, c in enumerate(features)],
-                      *[F.col(f"donor.{c}").alias(f"d{i}") for i, c in enumerate(features)]))
-    # Scoring dominates: an explicit partition count keeps small inputs on all cores.
+    features, seed = list(model.scaler.features), model.seed
+    blocks = max(64, math.ceil(n / cfg.shuffle_block_rows))
+    dealt = rows.select("id", *[F.col(c).cast("double").alias(c) for c in features]).withColumn(
+        "_block", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(blocks)))
     session = rows.sparkSession
-    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")),
-                session.sparkContext.defaultParallelism)
-    paired = paired.repartition(tasks)
-    packed, width = session.sparkContext.broadcast(model.packed()), len(features)
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forest = packed.value
-        for batch in batches:
-            for repeat, part in batch.groupby("repeat"):
-                values = part.drop(columns="repeat").to_numpy(dtype=float)
-                plain, permuted = forest.permuted_scores(values[:, :width], values[:, width:])
-                out = [(i, int(repeat), len(part), plain.sum(), permuted[:, i].sum())
-                       for i in range(width)]
-                yield pd.DataFrame(out, columns=["slot", "repeat", "rows", "plain", "permuted"])
+    packed = session.sparkContext.broadcast(model.packed())
+
+    def sums(group: pd.DataFrame) -> pd.DataFrame:
+        forest, block = packed.value, int(group["_block"].iloc[0])
+        values = group.sort_values("id")[features].to_numpy(dtype=float)
+        out = []
+        for repeat in range(repeats):
+            order = np.random.default_rng([seed, repeat, block]).permutation(len(values))
+            plain, permuted = forest.permuted_scores(values, values[order])
+            out += [(i, repeat, len(values), plain.sum(), permuted[:, i].sum()) for i in range(len(features))]
+        return pd.DataFrame(out, columns=["slot", "repeat", "rows", "plain", "permuted"])
 
+    # Scoring dominates: an explicit partition count keeps small inputs on all cores.
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
     named = F.element_at(F.array(*[F.lit(c) for c in features]), F.col("slot") + 1)
-    return (paired.mapInPandas(sums, "slot int, repeat int, rows long, plain double, permuted double")
+    return (dealt.repartition(tasks, "_block").groupBy("_block")
+            .applyInPandas(sums, "slot int, repeat int, rows long, plain double, permuted double")
             .groupBy(named.alias("feature"), "repeat")
             .agg((F.sum("plain") / F.sum("rows")).alias("baseline"),
                  (F.sum("permuted") / F.sum("rows")).alias("permuted")))
