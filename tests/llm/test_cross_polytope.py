@@ -57,3 +57,27 @@ def test_odd_vectors(spark):
     got = taken(C.neighbours(frame, frame, k=5, probes=99))
     assert {q: [i for i, _ in f] for q, f in got.items()} == {1: [2], 2: [1]}
     assert C.neighbours(frame.limit(0), frame.limit(0)).count() == 0
+
+
+def recall(spark, rows, few=C.FEW):
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = taken(C.neighbours(frame, frame.filter("vec_id % 20 = 0"), k=20, few=few))
+    want = brute(rows, 20, lambda i: i % 20 == 0)
+    assert got.keys() == want.keys() and all(len(got[q]) == len(want[q]) for q in want)
+    return np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / len(want[q]) for q in want])
+
+
+def embeddings(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
+    return [r.vec_id for r in rows], np.array([r.embedding for r in rows], np.float64)
+
+
+def test_recall_with_one_long_vector_and_mixed_lengths(spark):
+    ids, x = embeddings(spark)
+    mixed = np.random.default_rng(3).lognormal(0, 0.5, len(x))
+    one = {f: np.where(np.arange(len(x)) == 7, f, 1.0) for f in (3, 1000)}
+    for size in (one[3], one[1000], mixed):
+        found = recall(spark, list(zip(ids, (x * size[:, None]).tolist())))
+        print("recall", found)
+        assert found >= 0.9
+
