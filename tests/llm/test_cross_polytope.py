@@ -81,3 +81,14 @@ def test_recall_with_one_long_vector_and_mixed_lengths(spark):
         print("recall", found)
         assert found >= 0.9
 
+
+def test_small_tables_and_few_probes_give_all_rows(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((60, 64))
+    for n in (15, 21, 41):
+        assert recall(spark, [(i, x[i].tolist()) for i in range(n)]) == 1
+    frame = spark.createDataFrame([(i, (v * (1 if i % 3 else 9)).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = [(r.vec_id, r.embedding) for r in frame.collect()]
+    got = taken(C.neighbours(frame, frame, k=15, tables=1, probes=1, few=0))     # hashed ranges, hardly probed
+    want = brute(rows, 15, lambda i: True)
+    assert {q: [i for i, _ in f] for q, f in got.items()} == {q: [i for i, _ in f] for q, f in want.items()}

@@ -188,6 +188,14 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int
 
     met = materialize(meet(whole_range.union(buckets), all_axes(every(asked, "small")).union(
         every(probed, "NOT small").select("query_id", "query", "probes", "part", "tab", "axis"))), "met")
+
+    # Queries whose buckets held fewer than k of a hashed range go through the whole range.
+    enough = met.groupBy("query_id", "part").count().filter(F.col("count") >= k).select("query_id", "part")
+    short = materialize(every(asked.select("query_id"), "NOT small").join(enough, ["query_id", "part"], "left_anti"), "short-queries")
+    if not short.isEmpty():
+        again = meet(sides.filter("NOT small").select("vec_id", "vector", "hashes", "part", F.lit(WHOLE).alias("tab"), F.lit(WHOLE).alias("axis")),
+                     all_axes(asked.join(short, "query_id")))
+        met = met.join(short, ["query_id", "part"], "left_anti").select("query_id", "part", "vec_id", "score").union(again)
     return firsts(met).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
