@@ -90,3 +90,27 @@ def test_odd_rows_and_missing_keys(spark):
     empty = new_path(spark, "store")
     token_store.write(docs.limit(0), empty, WORD, 2)
     assert token_store.read(spark, empty, docs).count() == 0
+
+
+def test_added_tokens_in_a_text_are_what_the_library_makes_of_them(spark):
+    from pyspark.sql import functions as F
+
+    from trackloom.llm import packing
+    from trackloom.llm.tokenizer import encoder
+
+    odd = [*ODD, "end <|endoftext|> of text", "<|startoftext|>a b  c<|endoftext|>", "<|ENDOFTEXT|> x", "<|endoftext|>", "a <|endoftext |> b", "plain words"]
+    for path in (WORD, BYTE):
+        plain = Tokenizer.from_file(path)
+        for text in odd:
+            assert np.frombuffer(encoder(path).encode_one(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").repartition(1)
+    packed = {r.doc_id: r for r in packing.pack(docs, BYTE, end_id=0, capacity=2048).collect()}
+    store = new_path(spark, "added")
+    token_store.write(docs, store, WORD, end_id=2)
+    kept = {r.doc_id: r for r in token_store.read(spark, store, docs.select("doc_id", F.col("text"))).collect()}
+    byte, word = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
+    for i, text in enumerate(odd):
+        ids = np.array(byte.encode(text, add_special_tokens=False).ids + [0], "<u4")
+        assert packed[i].length == len(ids) and packed[i].ids_crc32 == zlib.crc32(ids.tobytes())
+        ids = np.array(word.encode(text, add_special_tokens=False).ids + [2], "<u4")
+        assert kept[i].n_tokens == len(ids) and kept[i].ids_crc32 == zlib.crc32(ids.tobytes())

@@ -3,7 +3,8 @@
 Both kinds of file cut a text into words before any merge, and no word spans the places where this
 module cuts, so the ids of a text are the ids of its chunks in order. A worker keeps the ids of chunks
 it has met as little-endian unsigned 32-bit integers. Chunks of Latin letters with closing punctuation
-go straight to the library's merge model; all others go through its whole encoding. Two generations of
+go straight to the library's merge model; all others go through its whole encoding, and so do whole texts that
+hold a token the file adds, such as <|endoftext|>: like the library, `encoder` takes it for that token. Two generations of
 ``CHUNKS`` entries bound the memory; dropping one changes no result.
 """
 
@@ -45,13 +46,18 @@ class _Known(dict):
 
 
 class Encoder:
-    """``encode_one(text)`` gives the bytes of its ids; null counts as empty."""
+    """``encode_one(text)`` gives the bytes of its ids; null counts as empty. With `added`, the library's default,
+    strings of added tokens are those tokens; without, they are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True   # such strings in a text are ordinary text
+        self.library.encode_special_tokens = not added
+        tokens = self.library.get_added_tokens_decoder().values()
+        if any(t.normalized for t in tokens):
+            raise ValueError("only added tokens that stand in the text as they are")
+        self.added = [t.content for t in tokens if added or not t.special]
         self.model = self.library.model
         self.letters = str.maketrans(_byte_letters())
         normal = self.library.normalizer
@@ -109,6 +115,8 @@ class Encoder:
     def encode_one(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if any(t in text for t in self.added):
+            return self._whole([text])[0]
         if len(self.known) > CHUNKS:
             self.older, self.known = dict(self.known), _Known(self._learn)
         if self.drops_space:
@@ -122,4 +130,4 @@ class Encoder:
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """One encoder per worker and file."""
-    return Encoder(path)
+    return Encoder(path, added=True)
