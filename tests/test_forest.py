@@ -163,6 +163,15 @@ def test_permutation_keeps_every_value(spark, rows, model):
         assert r["permuted"] == pytest.approx(r["baseline"], rel=1e-9)
 
 
+def test_few_rows_are_permuted_as_one_block(rows, model):
+    few = materialize(rows.orderBy("id").limit(20), "few")
+    values = few.orderBy("id").select(*FEATURES).toPandas().to_numpy(dtype=float)
+    order = np.random.default_rng([model.seed, 0, 0]).permutation(20)
+    want = model.packed().permuted_scores(values, values[order])[1].mean(axis=0)
+    found = {r["feature"]: r["permuted"] for r in Fr.permuted_scores(few, model, 1, 20).collect()}
+    assert [found[c] for c in FEATURES] == pytest.approx(want.tolist(), rel=1e-12)
+
+
 def test_training_and_inference(spark, sf_dir):
     small = dataclasses.replace(DEFAULT, n_trees=20, importance_repeats=1)
     result = jobs.train(fixes(spark, sf_dir), "m", trained_at=WHEN, cfg=small)

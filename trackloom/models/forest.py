@@ -212,15 +212,19 @@ def _shared_features(models) -> tuple[str, ...]:
     return kinds.pop()
 
 
+PARALLEL_ROWS = 4096   # rows of a block of the permutation that is made for parallelism only
+
+
 def permuted_scores(rows: DataFrame, model: Model, repeats: int, n: int,
                     cfg: TrackConfig = DEFAULT) -> DataFrame:
     """(feature, repeat, mean baseline score, mean score with that feature permuted).
 
     One shuffle deals the rows into random blocks; each block is permuted for all repeats in its task, which
-    returns sums only. Blocks hold about ``shuffle_block_rows`` rows at most, and there are at least 64.
+    returns sums only. Blocks hold about ``shuffle_block_rows`` rows at most; up to 64 are made
+    for parallelism where each still gets some thousand rows, so that few rows are permuted as one block.
     """
     features, seed = list(model.scaler.features), model.seed
-    blocks = max(64, math.ceil(n / cfg.shuffle_block_rows))
+    blocks = max(1, min(64, n // PARALLEL_ROWS), math.ceil(n / cfg.shuffle_block_rows))
     dealt = rows.select("id", *[F.col(c).cast("double").alias(c) for c in features]).withColumn(
         "_block", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(blocks)))
     session = rows.sparkSession
