@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (cross_polytope, decontaminate, licenses, packing, perspectives, pii, resample, simhash, token_store,
-               toxicity)
+from . import (collocations, cross_polytope, decontaminate, licenses, packing, perspectives, pii, prefix_trie, resample, simhash,
+               token_store, top_k, toxicity)
 from .common import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query(collocations.SQL)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two thousand strongest phrases of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=100, best=2000)
+
+
+@query(prefix_trie.SQL)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+@query(top_k.SQL)
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five highest integer inner products of each vector whose id is divisible by 50."""
+    return top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
