@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trackloom.plans.scratch import materialize, new_path
 from trackloom.session import ship
 
-__all__ = ["keyed", "materialize", "new_path", "partition_id", "ship", "whole"]
+__all__ = ["keyed", "discard", "materialize", "new_path", "partition_id", "ship", "whole"]
 
 ROW = "_row"
 
@@ -28,3 +28,11 @@ def partition_id() -> int:
 def whole(df: DataFrame) -> Column:
     """All columns in one, so that none clashes with an operator's own."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc")
+
+
+def discard(written: DataFrame) -> None:
+    """Delete the files of a frame that `materialize` made; nothing may read it, or what it was read into, any more."""
+    spark = written.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in written.inputFiles()}:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
