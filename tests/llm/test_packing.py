@@ -46,7 +46,6 @@ def test_plans_are_close_to_the_bound():
 def test_query_places_every_piece(spark, sf_dir, texts):
     rows = queries.op3_packing(spark, sf_dir).collect()
     library = Tokenizer.from_file(BYTE)
-    library.encode_special_tokens = True
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
         pieces[r.doc_id].append(r)
@@ -82,3 +81,26 @@ def test_odd_rows_and_sequences(spark):
     for s in packing.sequences(packed).collect():
         assert len(s.ids) == 4 * sum(s.lengths) <= 256
     assert packing.pack(docs.limit(0), BYTE, 0).count() == 0
+
+
+def test_most_pieces_come_from_fitted_patterns(spark, docs):
+    """Of the documents' own histogram, and of ten times as many; sequences stay at the bound."""
+    found = packing.pack(docs, BYTE, 0).groupBy("length").count().collect()
+    for times in (1, 10, 100):
+        counts = np.zeros(2049, np.int64)
+        for r in found:
+            counts[r["length"]] = r["count"] * times
+        bound = -(-int((counts * np.arange(2049)).sum()) // 2048)
+        made = packing.plan({n: int(c) for n, c in enumerate(counts) if c}, 2048)
+        exact = sum(len(p) * r for p, r in made if sum(p) == 2048)
+        assert sum(r for _, r in made) <= 1.01 * bound + 1
+        if times > 1:
+            assert exact > 0.5 * counts.sum()
+
+
+def test_added_tokens_as_the_library_has_them(spark):
+    texts = ["end <|endoftext|> of text", "<|endoftext|>", "a<|endoftext|>b <|startoftext|>"]
+    library = Tokenizer.from_file(BYTE)
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BYTE, 0).collect()
+    assert {r.doc_id: r.ids_crc32 for r in rows} == {
+        i: zlib.crc32(np.array(library.encode(t, add_special_tokens=False).ids + [0], "<u4").tobytes()) for i, t in enumerate(texts)}

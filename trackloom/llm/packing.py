@@ -5,7 +5,8 @@ that takes the remainder. The histogram of piece lengths, at most ``capacity`` n
 
 1. patterns are all multisets of up to three lengths that occur and fill a sequence exactly;
 2. non-negative least squares fits repeat counts of the patterns to the histogram (accelerated projected
-   gradient), and the counts are rounded and cut to what the histogram has left;
+   gradient), and the counts are rounded, shares passing on among patterns of one longest length, and cut to what
+   the histogram has left;
 3. the rest goes length by length, longest first, into the open pattern with the least sufficient space.
 
 A plan is thus a list of patterns with repeats, whose size depends on the capacity and not on the number of
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,34 +31,49 @@ from pyspark.sql.window import Window
 
 from .common import keyed, materialize, partition_id, ship
 
-PIECES = "part int, nth long, doc_id long, row long, piece int, start long, length int, ids binary"
+PIECES = "part int, nth long, doc_id long, row long, piece int, start long, length int, ids_crc32 long"
 
 
-def _pieces(tokenizer: str, end_id: int, capacity: int):
-    schema = pa.schema([("part", pa.int32()), ("nth", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()),
-                        ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids", pa.binary())])
+def _pieces(tokenizer: str, end_id: int, capacity: int, with_ids: bool):
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()] + [pa.binary()] * with_ids
+    names = ["part", "nth", "doc_id", "row", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches):
         from .tokenizer import encoder
 
         encode, end = encoder(tokenizer).encode_one, np.asarray([end_id], "<u4").tobytes()
         part, met = partition_id(), [0] * (capacity + 1)
+
+        def made(columns):
+            return pa.RecordBatch.from_arrays([pa.array([part] * len(columns[0]), pa.int32()), *(pa.array(c, k) for c, k in zip(columns, kinds[1:]))], names=names)
+
         for batch in batches:
-            out, size = [], 0
+            out, size = [[] for _ in kinds[1:]], 0
+            nth, docs, rows, pieces, starts, lengths, sums, *kept = out
             for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1)):
                 ids = encode(text.as_py()) + end
                 total, at, piece = len(ids) // 4, 0, 0
                 while at < total:
                     length = (total - at) % capacity or capacity
-                    out.append((part, met[length], doc, row, piece, at, length, ids[4 * at:4 * (at + length)]))
+                    own = ids if length == total else ids[4 * at:4 * (at + length)]
+                    nth.append(met[length])
+                    docs.append(doc)
+                    rows.append(row)
+                    pieces.append(piece)
+                    starts.append(at)
+                    lengths.append(length)
+                    sums.append(crc32(own))
+                    if kept:
+                        kept[0].append(own)
+                        size += len(own)
                     met[length] += 1
                     at, piece = at + length, piece + 1
-                size += len(ids)
                 if size > 1 << 24:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
-                    out, size = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
+                    yield made(out)
+                    out, size = [[] for _ in kinds[1:]], 0
+                    nth, docs, rows, pieces, starts, lengths, sums, *kept = out
+            if nth:
+                yield made(out)
 
     return run
 
@@ -114,19 +131,37 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
         left[capacity] = 0
     patterns = exact_patterns(np.flatnonzero(left), capacity)
     patterns = patterns[patterns[:, 1] > 0]
+    whole = left.copy()
     if len(patterns):
-        x = fit_repeats(patterns, left.astype(float))
-        for at in np.argsort(-x, kind="stable"):
-            repeats = int(np.rint(x[at]))
-            if repeats < 1:
-                break
-            lengths = Counter(int(v) for v in patterns[at] if v)
-            repeats = min([repeats, *(int(left[v]) // k for v, k in lengths.items())])
-            if repeats > 0:
-                made.append((tuple(int(v) for v in patterns[at] if v), repeats))
-                for v, k in lengths.items():
-                    left[v] -= k * repeats
-    return made + best_fit(left, capacity)
+        for lengths, repeats in rounded(patterns, fit_repeats(patterns, left.astype(float)), left):
+            made.append((lengths, repeats))
+    fitted = made + best_fit(left, capacity)
+    if sum(r for _, r in fitted) > -(-int((counts * np.arange(capacity + 1)).sum()) // capacity):
+        # What is left may fit worse without the lengths that went into patterns.
+        plain = ([((capacity,), int(counts[capacity]))] if counts[capacity] else []) + best_fit(whole, capacity)
+        if sum(r for _, r in plain) < sum(r for _, r in fitted):
+            return plain
+    return fitted
+
+
+def rounded(patterns: np.ndarray, x: np.ndarray, left: np.ndarray):
+    """Whole repeats of the patterns, taken out of `left`. Patterns go by their lengths, longest first, and what
+    rounding leaves of one goes to the next of the same longest length, so that many small shares make whole ones."""
+    share, longest = 0.0, -1
+    for pattern, part in zip(patterns.tolist(), x.tolist()):
+        if pattern[0] != longest:
+            share, longest = 0.5, pattern[0]
+        share += part
+        repeats = int(share)
+        if repeats < 1:
+            continue
+        lengths = Counter(v for v in pattern if v)
+        repeats = min([repeats, *(int(left[v]) // k for v, k in lengths.items())])
+        if repeats > 0:
+            share -= repeats
+            for v, k in lengths.items():
+                left[v] -= k * repeats
+            yield tuple(v for v in pattern if v), repeats
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -203,16 +238,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, wit
     spark = docs.sparkSession
     ship(spark)
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", "text")
-    pieces = materialize(rows.mapInArrow(_pieces(tokenizer, end_id, capacity), PIECES), "pieces")
+    pieces = materialize(rows.mapInArrow(_pieces(tokenizer, end_id, capacity, with_ids), PIECES + ", ids binary" * with_ids), "pieces")
     counts = materialize(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "length-counts")
     total = counts.groupBy("length").agg(F.sum("n")).collect()          # at most `capacity` rows
     slots = spark.sparkContext.broadcast(_slots(plan(dict(map(tuple, total)), capacity)))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    out = ["doc_id", "row", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")] + ["ids"] * with_ids
-    ranked = pieces.select("part", "nth", *out).join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth")).drop("part", "nth", "base")
-    schema = "doc_id long, row long, piece int, start long, length int, ids_crc32 long" + ", ids binary" * with_ids
     names = ["doc_id", "row", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+    ranked = pieces.select("part", "nth", *names).join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth")).drop("part", "nth", "base")
+    schema = "doc_id long, row long, piece int, start long, length int, ids_crc32 long" + ", ids binary" * with_ids
     return ranked.select(*names, "rank").mapInArrow(_place(slots), schema + ", sequence_id long, offset long")
 
 
