@@ -88,3 +88,11 @@ def test_odd_rows(spark):
     rows = pii.find(docs).collect()
     assert len(rows) == 6 and sum(len(r.spans) for r in rows) == 2
     assert pii.find(docs.limit(0)).count() == 0
+
+
+def test_whole_secrets_of_any_length(spark):
+    """Long secrets leave nothing behind, and short ones are judged too."""
+    long = "A1b2C3d4" * 20
+    texts = [f"password: {long}", "password: hunter2", "token=" + "Zx9-Qw8_ErT7" * 500 + " end", *[f"password: Ab{i}cdefgh{i}" for i in range(40)]]
+    out = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out[0] == "[SECRET]" and out[1] == "[SECRET]" and out[2] == "[SECRET] end"

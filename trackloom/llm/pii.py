@@ -35,7 +35,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": r"(?i)(?<![a-z0-9])(?:password|passwd|secret|api_key|token)\x20?[=:]\x20?\"?[A-Za-z0-9+/_-]{12,128}+\"?",
+    "secret": r"(?i)(?<![a-z0-9])(?:password|passwd|secret|api_key|token)\x20?[=:]\x20?\"?[A-Za-z0-9+/_-]++\"?",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: A cheap test that a text can hold the kind at all.
@@ -57,7 +57,7 @@ GAZETTEER = {
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6)",
     "phone": r"^\+(?:1|33|34|39|41|43|44|49|52|54|55|61|7|81|86|91)",
     "key": r"^AKIA",
-    "secret": r"(?i)^(?:password|passwd|secret|api_key|token)",
+    "secret": r"(?:=|:)\s?\"?[A-Za-z0-9+/_-]{6,}\"?$",
     "ssn": r"^[0-8]",
 }
 CUES = r"(?i)(?:mail|contact|write|phone|tel|call|mobile|fax|card|visa|credit|server|host|address|login|user|password|token|secret|key|ssn)\W{0,4}$"
