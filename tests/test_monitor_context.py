@@ -1,5 +1,6 @@
 """Labels over micro-batches equal the batch job's, and other faults that once slipped through."""
 
+import dataclasses
 import datetime as dt
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from helpers import START, fixes, rows_of, scored
 from pyspark.sql import functions as F
 
+from trackloom.config import DEFAULT
 from trackloom.functions.scalars import monday_zero_weekday, parse_utc, utc_hour
 from trackloom.models import forest as Fr
 from trackloom.models.scaler import Scaler
@@ -15,27 +17,48 @@ from trackloom.operators.metrics import density_histogram
 from trackloom.plans import jobs
 from trackloom.plans.scratch import exists, materialize, new_path, scope
 from trackloom.sources.writers import apply_labels, latest_labels
-from trackloom.streaming.monitor import with_context
+from trackloom.streaming.intervals import IntervalStore, add_points, events, judged
+from trackloom.streaming.segments import TrackStore
 
 
-@pytest.mark.parametrize("slices", [1, 4, 12])
-def test_context_over_slices_equals_batch(spark, slices):
+@pytest.mark.parametrize("slices, size", [(1, 2), (4, 2), (4, 4)])
+def test_context_over_slices_equals_batch(spark, slices, size):
+    """Slices in turned order: what a slice judges is corrected by the next."""
+    cfg = dataclasses.replace(DEFAULT, min_event_size=size)
     rng = np.random.default_rng(7)
     rows = [(i, int(rng.integers(1, 5)), 60 * i, -1.0, int(rng.choice([-1, 1], p=[0.12, 0.88]))) for i in range(400)]
-    frame = scored(spark, rows)
-    carry, out = None, []
+    store = TrackStore(new_path(spark, "context"), segment_seconds=3600)
+    intervals, out, seen = IntervalStore(store, cfg), [], []
     for k in range(slices):
-        part = frame.filter((F.col("id") * slices / 400).cast("int") == k)
-        labels, corrections, new = with_context(part, carry)
-        carry = materialize(new, "carry")
-        for n, df in ((0, labels.select("id", "anomaly")), (1, corrections.select("id", F.lit(-1).alias("anomaly")))):
-            out.append(df.withColumn("batch_id", F.lit(2 * k + n)))
+        part = [r for r in rows if r[0] * slices // 400 == (k * 3 + 1) % slices]
+        seen += part
+        segments = materialize(scored(spark, part).select("device_id", store.segment(F.col("ts")).alias("segment")).distinct(), "touched")
+        raw = scored(spark, seen).withColumn("segment", store.segment(F.col("ts"))).join(segments, ["device_id", "segment"], "left_semi")
+        isolated, turned = judged(intervals, raw.filter("anomaly = -1"), segments, k)
+        labels = raw.join(isolated, "id", "left").select("id", F.when(F.col("_alone"), 1).otherwise(F.col("anomaly")).alias("anomaly"))
+        out.append(materialize(labels.unionByName(turned.select("id", "anomaly")).withColumn("batch_id", F.lit(k)), "labels"))
     history = out[0]
     for df in out[1:]:
         history = history.unionByName(df)
-    want = L.filter_isolated(frame).select("id", "anomaly")
+    frame = scored(spark, rows)
+    want = L.filter_isolated(frame, cfg=cfg).select("id", "anomaly")
     assert rows_of(latest_labels(history)) == rows_of(want)
-    assert want.filter("anomaly = -1").count() > 10
+    found = L.anomaly_events(frame.filter("anomaly = -1"), cfg=cfg).select("device_id", "event_id", "start_time", "end_time", "n_points")
+    assert rows_of(found) == rows_of(events(intervals.current(spark), cfg=cfg).select(*found.columns))
+
+
+def test_a_new_anomaly_joins_bridges_or_opens_intervals(spark):
+    """Only touched segments are read and written, whatever the order."""
+    rows = [(i, 1, t, -1.0, -1) for i, t in enumerate([0, 1500, 90_000, 750, 200_000, 90_500, 86_300, 86_500])]
+    store = TrackStore(new_path(spark, "events"), segment_seconds=86_400)
+    intervals = IntervalStore(store)
+    for k, row in enumerate(rows):
+        add_points(intervals, scored(spark, [row]), k)
+    want = L.anomaly_events(scored(spark, rows), min_size=1)
+    got = events(intervals.current(spark), min_size=1).select(*want.columns)
+    assert rows_of(want) == rows_of(got) and got.count() == 5 - 1
+    last = spark.read.parquet(store.path("intervals", len(rows) - 1))
+    assert last.select("segment").distinct().count() == 1
 
 
 def test_every_tree_has_its_rows(spark):

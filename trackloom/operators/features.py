@@ -42,10 +42,10 @@ def add_rolling(df: DataFrame, cfg: TrackConfig = DEFAULT) -> DataFrame:
     return df.withColumns(out)
 
 
-def add_hover(df: DataFrame, cfg: TrackConfig = DEFAULT) -> DataFrame:
+def add_hover(df: DataFrame, cfg: TrackConfig = DEFAULT, carry: DataFrame | None = None) -> DataFrame:
     """Hover flag: position in the run of slow fixes times the current interval."""
     slow = F.col("speed_m_s") < cfg.hover_speed
-    df = run_position(df, slow, "hover_run")
+    df = run_position(df, slow, "hover_run", carry)
     return (df.withColumn("is_hovering", slow.cast("int"))
               .withColumn("hover_duration", F.col("hover_run") * F.col("dt"))
               .withColumn("hover_flag", (F.col("hover_duration") > cfg.hover_seconds).cast("int")))

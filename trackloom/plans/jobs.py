@@ -110,15 +110,31 @@ def score_batch(new_fixes: DataFrame, devices: DataFrame, model_folder: str,
     return filter_isolated(labelled, cfg=cfg)
 
 
+def unusable(new_fixes: DataFrame, devices: DataFrame, meta: DataFrame, mode: str = "fixed") -> DataFrame:
+    """`id, device_id, model_name, reason` of fixes that no stored model can label."""
+    known = meta.select("model_name", F.lit(True).alias("_stored"), F.col("threshold").isNull().alias("_bare"))
+    named = with_model(new_fixes.select("id", "device_id"), devices).join(known, "model_name", "left")
+    reason = (F.when(F.col("model_name").isNull(), "no model assigned").when(F.col("_stored").isNull(), "model not stored")
+               .when(F.lit(mode == "fixed") & F.col("_bare"), "model without threshold"))
+    return named.withColumn("reason", reason).filter("reason IS NOT NULL").select("id", "device_id", "model_name", "reason")
+
+
 def label_batch(new_fixes: DataFrame, devices: DataFrame, model_folder: str, mode: str = "fixed",
-                cfg: TrackConfig = DEFAULT, featured: bool = False) -> DataFrame:
-    """Scores and labels of ``score_batch`` before isolated anomalies go, as a written table."""
+                cfg: TrackConfig = DEFAULT, featured: bool = False, strict: bool = True) -> DataFrame:
+    """Scores and labels of ``score_batch`` before isolated anomalies go, as a written table.
+
+    A model without threshold that a device of the batch uses is refused in mode ``fixed``; if not ``strict``, its
+    rows are left out like those without a model, and `unusable` names them.
+    """
     spark = new_fixes.sparkSession
     meta = fr.stored_meta(spark, model_folder)
     if mode == "fixed":
-        bare = [r[0] for r in meta.filter("threshold IS NULL").select("model_name").limit(5).collect()]
-        if bare:
-            raise ValueError(f"models without a threshold cannot label in mode 'fixed': {bare}")
+        bare = meta.filter("threshold IS NULL").select("model_name")
+        used = with_model(new_fixes.select("device_id").distinct(), devices).join(bare, "model_name", "left_semi")
+        found = [r[0] for r in used.select("model_name").distinct().limit(5).collect()] if strict else []
+        if found:
+            raise ValueError(f"models without a threshold cannot label in mode 'fixed': {found}")
+        meta = meta.filter("threshold IS NOT NULL")
     known = meta.select("model_name", F.col("threshold").alias("_cut"))
     wide = new_fixes if featured else build_features(new_fixes, cfg)
     named = with_model(wide, devices).join(known, "model_name", "inner")

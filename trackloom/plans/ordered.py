@@ -129,28 +129,41 @@ def device_size(df: DataFrame, out: str) -> DataFrame:
     return _join_carry(df, parts.withColumn(out, F.sum("_part").over(whole)).drop("_part"))
 
 
-def run_position(df: DataFrame, flag: Column, out: str) -> DataFrame:
-    """1-based position inside the current run of rows with ``flag``; 0 outside a run."""
+def local_runs(df: DataFrame, flag: Column) -> DataFrame:
+    """`_flag`, the place `_rn` in the piece and the place `_break` of the last row without the flag."""
     w = track(df)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    local = (df.withColumn("_flag", flag)
-               .withColumn("_rn", F.row_number().over(w).cast("long"))
-               .withColumn("_break", F.max(F.when(~F.col("_flag"), F.col("_rn"))).over(upto)))
+    return (df.withColumn("_flag", flag)
+              .withColumn("_rn", F.row_number().over(w).cast("long"))
+              .withColumn("_break", F.max(F.when(~F.col("_flag"), F.col("_rn"))).over(upto)))
+
+
+def run_ends(local: DataFrame, lead: str | None = None) -> DataFrame:
+    """One row per piece: its size and last break, and on request the length of the run it begins with."""
+    more = [] if lead is None else [F.coalesce(F.min("_break") - 1, F.max("_rn")).alias(lead)]
+    return local.groupBy("device_id", PIECE).agg(F.max("_rn").alias("_size"), F.max("_break").alias("_last_break"), *more)
+
+
+def open_runs(ends: DataFrame) -> DataFrame:
+    """`_carry`, the length of the run that each piece inherits. A piece without a break extends the run it
+    inherits; any other restarts it."""
+    counted = (ends.withColumn("_tail", F.col("_size") - F.coalesce("_last_break", F.lit(0)))
+                   .withColumn("_breaks", F.count("_last_break").over(_pieces().rowsBetween(Window.unboundedPreceding, 0))))
+    since = (Window.partitionBy("device_id", "_breaks").orderBy(PIECE)
+             .rowsBetween(Window.unboundedPreceding, 0))
+    return (counted.withColumn("_open", F.sum("_tail").over(since))
+                   .withColumn("_carry", F.lag("_open").over(_pieces()))
+                   .select("device_id", PIECE, "_carry"))
+
+
+def run_position(df: DataFrame, flag: Column, out: str, carry: DataFrame | None = None) -> DataFrame:
+    """1-based position inside the current run of rows with ``flag``; 0 outside a run. ``carry`` gives the runs
+    that pieces inherit where ``df`` does not hold all pieces of its devices."""
+    local = local_runs(df, flag)
     position = F.col("_rn") - F.coalesce("_break", F.lit(0).cast("long"))
     scratch = ["_flag", "_rn", "_break"]
     if is_cut(df):
-        # A piece without a break extends the run it inherits; any other restarts it.
-        ends = (local.groupBy("device_id", PIECE)
-                     .agg(F.max("_rn").alias("_size"), F.max("_break").alias("_last_break"))
-                     .withColumn("_tail", F.col("_size") - F.coalesce("_last_break", F.lit(0)))
-                     .withColumn("_breaks", F.count("_last_break").over(
-                         _pieces().rowsBetween(Window.unboundedPreceding, 0))))
-        since = (Window.partitionBy("device_id", "_breaks").orderBy(PIECE)
-                 .rowsBetween(Window.unboundedPreceding, 0))
-        carry = (ends.withColumn("_open", F.sum("_tail").over(since))
-                     .withColumn("_carry", F.lag("_open").over(_pieces()))
-                     .select("device_id", PIECE, "_carry"))
-        local = _join_carry(local, carry)
+        local = _join_carry(local, open_runs(run_ends(local)) if carry is None else carry)
         inherited = F.when(F.col("_break").isNull(), F.coalesce("_carry", F.lit(0))).otherwise(0)
         position = position + inherited
         scratch.append("_carry")
