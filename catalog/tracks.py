@@ -119,6 +119,66 @@ def insert_file_rows(spark, sf_dir):
                      *[rounded(F.col(c)).alias(c) for c in POSITION], "anomaly")
 
 
+# Every tenth line of each kind has a fault; the last kind has a short zone.
+FAULTS_SQL = """CASE id % 10 WHEN 1 THEN 'not a tuple' WHEN 2 THEN 'bad time' WHEN 3 THEN 'bad position' WHEN 4 THEN 'bad altitude'
+  WHEN 5 THEN 'bad device' WHEN 6 THEN 'bad label' ELSE 'ok' END"""
+
+
+def _faulty_inserts(spark, sf_dir):
+    path, kind = new_path(spark, "insert-text"), F.col("id") % 10
+    or_else = lambda at, wrong, right: F.when(kind == at, wrong).otherwise(right)
+    when = F.when(kind == 7, F.date_format("ts", "yyyy-MM-dd HH:mm:ss'+00'")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    parts = ["('", or_else(2, "yesterday", when), "', ", F.format_string("%.7f", "lat"), ", ", or_else(3, "NULL", F.format_string("%.7f", "lon")), ", ",
+             or_else(4, "high", F.when(kind == 8, "NULL").otherwise(F.format_string("%.2f", "alt"))), ", ", or_else(5, "", F.col("device_id").cast("string")),
+             or_else(1, "", ", "), or_else(6, "1.5", "1"), "),"]
+    line = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    head = spark.createDataFrame([("INSERT INTO facts VALUES",), ("",)], "value string")
+    head.unionByName(fixes(spark, sf_dir).select(line.alias("value"))).write.text(path)
+    return R.parse_insert_lines(spark.read.text(path))
+
+
+@query(with_sql(FIXES_SQL, body=f"SELECT {FAULTS_SQL} AS reason, count(*) AS n_rows FROM fixes GROUP BY ALL"))
+def insert_file_rejects(spark, sf_dir):
+    return R.reject_counts(_faulty_inserts(spark, sf_dir))
+
+
+@query(with_sql(FIXES_SQL, body=f"""
+SELECT device_id, date_trunc('second', ts) AS ts, {r('lat')} AS lat, {r('lon')} AS lon,
+       CASE WHEN id % 10 = 8 THEN NULL ELSE {r('alt')} END AS alt FROM fixes WHERE {FAULTS_SQL} = 'ok'"""))
+def insert_file_good_rows(spark, sf_dir):
+    good, _ = R.split_rejects(_faulty_inserts(spark, sf_dir))
+    return good.select("device_id", ntz(F.col("ts")).alias("ts"), *[rounded(F.col(c)).alias(c) for c in POSITION])
+
+
+@query(with_sql(FIXES_SQL, body="""
+SELECT CASE id % 10 WHEN 1 THEN 'bad time' WHEN 2 THEN 'no time' WHEN 3 THEN 'bad device' WHEN 4 THEN 'no device' WHEN 5 THEN 'bad lat' ELSE 'ok' END AS reason,
+       count(*) AS n_rows FROM fixes GROUP BY ALL"""))
+def track_csv_rejects(spark, sf_dir):
+    path, kind = new_path(spark, "track-csv"), F.col("id") % 10
+    time = F.when(kind == 1, "31/12/24 noon").when(kind == 2, F.lit(None)).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss'+00'"))
+    device = F.when(kind == 3, "seven").when(kind == 4, F.lit(None)).otherwise(F.col("device_id").cast("string"))
+    lat = F.when(kind == 5, "north").otherwise(F.col("lat").cast("string"))
+    (fixes(spark, sf_dir).select(F.col("id").alias("Id"), device.alias("Device_id"), time.alias("Timestamp"), lat.alias("Latitude"),
+                                 F.col("lon").alias("Longitude"), F.col("alt").alias("Altitude")).write.option("header", True).csv(path))
+    return R.reject_counts(R.check_track(R.read_csv_by_name(spark, path)))
+
+
+@query(with_sql(FIXES_SQL, """
+rows AS (SELECT device_id, round(lat, 2) AS lat, round(lon, 2) AS lon, 0.0::DOUBLE AS alt, make_timestamp(epoch_us(ts) // 86400000000 * 86400000000) AS ts
+         FROM fixes UNION ALL SELECT 1, 0.5, 0.5, 0.0, TIMESTAMP '2024-01-01 00:00:00' FROM fixes WHERE id % 7 = 0)""", body="""
+SELECT CAST(row_number() OVER (ORDER BY device_id, lat, lon, alt, ts) AS BIGINT) AS id, device_id, lat, lon, ts FROM rows"""))
+def keyed_track(spark, sf_dir):
+    """A file without ids in which many rows are equal: each gets a number of its own."""
+    day = F.timestamp_micros(F.expr("unix_micros(ts) div 86400000000 * 86400000000"))
+    rows = fixes(spark, sf_dir).select("id", "device_id", F.round("lat", 2).alias("lat"), F.round("lon", 2).alias("lon"), F.lit(0.0).alias("alt"), day.alias("ts"))
+    same = rows.filter("id % 7 = 0").select(F.lit(1).cast("long").alias("device_id"), F.lit(0.5).alias("lat"), F.lit(0.5).alias("lon"), "alt",
+                                            F.expr("timestamp '2024-01-01 00:00:00Z'").alias("ts"))
+    path = new_path(spark, "idless")
+    rows.drop("id").unionByName(same).write.parquet(path)
+    keyed = R.load_track(spark, path, validate=False, fmt="parquet")
+    return keyed.select("id", "device_id", rounded(F.col("lat")).alias("lat"), rounded(F.col("lon")).alias("lon"), ntz(F.col("ts")).alias("ts"))
+
+
 DERIVED = ("dt", "distance_m", "speed_m_s", "bearing", "acceleration")
 _DERIVED_SQL = with_sql(FIXES_SQL, stepped("fixes"), rest_of_motion("stepped"), body=f"""
 SELECT id, {r('dt')} AS dt, {r('delta_lat', 9)} AS delta_lat, {r('delta_lon', 9)} AS delta_lon,
@@ -256,6 +316,14 @@ def ordered_page(spark, sf_dir):
     return _plain(R.page(fixes(spark, sf_dir), 1, 1000, "id"))
 
 
+@query(with_sql(FIXES_SQL, body=f"SELECT {PLAIN_SQL} FROM fixes ORDER BY device_id DESC, ts DESC, id DESC LIMIT 7 OFFSET (SELECT 3 * count(*) // 4 // 7 * 7 FROM fixes)"))
+def deep_page(spark, sf_dir):
+    """A page three quarters down, by an index that is built once."""
+    back = fixes(spark, sf_dir).withColumns({"_d": -F.col("device_id"), "_t": -F.unix_micros("ts"), "_i": -F.col("id")})
+    index = R.PageIndex(back, "_d", "_t", "_i")
+    return _plain(index.page(3 * index.size // 4 // 7, 7))
+
+
 @query(with_sql(FIXES_SQL, body=f"SELECT {PLAIN_SQL} FROM fixes ORDER BY device_id, ts, id"))
 def sort_by_device_time(spark, sf_dir):
     return _plain(fixes(spark, sf_dir).orderBy("device_id", "ts", "id"))

@@ -28,9 +28,9 @@ def test_positions_count_within_keys(spark):
 
 
 def test_a_hot_key_is_numbered_by_many_tasks(spark):
-    from trackloom.plans.numbering import PART, _sorted_parts
+    from trackloom.plans.numbering import PART, sorted_parts
 
-    parts = _sorted_parts(_rows(spark, 3000), ["k", "v", "s"], "t").filter("k = 7").select(PART).distinct().count()
+    parts = sorted_parts(_rows(spark, 3000), ["k", "v", "s"], "t").filter("k = 7").select(PART).distinct().count()
     assert parts > 3
 
 

@@ -47,7 +47,7 @@ def monday_zero_weekday(ts: Column) -> Column:
 def parse_utc(text: Column) -> Column:
     """Timestamps as text, with or without offset; zoneless text counts as UTC in any session."""
     said = F.trim(text)
-    zoned = said.rlike(r"(?i):.*(?:z|utc|gmt|[+-][0-9]{1,2}:?[0-9]{2})$")
+    zoned = said.rlike(r"(?i):.*(?:z|utc|gmt|[+-][0-9]{1,2}(?::?[0-9]{2})?)$")
     return F.coalesce(
         F.try_to_timestamp(said, F.lit("yyyy-MM-dd HH:mm:ssZ")),
         F.when(zoned, F.try_to_timestamp(said)),

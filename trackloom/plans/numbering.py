@@ -18,7 +18,7 @@ from trackloom.plans.scratch import materialize
 PART, LOCAL, TIE = "_part", "_local", "_tie"
 
 
-def _sorted_parts(df: DataFrame, order: Sequence[str], label: str) -> DataFrame:
+def sorted_parts(df: DataFrame, order: Sequence[str], label: str) -> DataFrame:
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = (df.withColumn(TIE, F.monotonically_increasing_id())
                .repartitionByRange(parts, *order, TIE).sortWithinPartitions(*order, TIE))
@@ -30,7 +30,7 @@ def _sorted_parts(df: DataFrame, order: Sequence[str], label: str) -> DataFrame:
 def numbered(df: DataFrame, order: Sequence[str], out: str, start: int = 0) -> DataFrame:
     """Dense numbers from `start` over all rows in `order`, nulls first. Where the order names every column, the
     same rows get the same numbers however the table is laid out."""
-    rows = _sorted_parts(df, order, "numbered")
+    rows = sorted_parts(df, order, "numbered")
     before = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)      # one row per part
     base = (rows.groupBy(PART).agg(F.count("*").alias("_n"))
                 .select(PART, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")))
@@ -40,7 +40,7 @@ def numbered(df: DataFrame, order: Sequence[str], out: str, start: int = 0) -> D
 
 def positions(df: DataFrame, key: str, order: Sequence[str], out: str, start: int = 0) -> DataFrame:
     """Dense numbers from `start` inside each `key`, in `order`, nulls first; rows of a null key are one key."""
-    rows = _sorted_parts(df, [key, *order], "positions")
+    rows = sorted_parts(df, [key, *order], "positions")
     before = Window.partitionBy(key).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     base = (rows.groupBy(key, PART).agg(F.min(LOCAL).alias("_first"), F.count("*").alias("_n"))
                 .select(F.col(key).alias("_key"), F.col(PART).alias("_in"),

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from trackloom.config import DEFAULT, TrackConfig
 from trackloom.functions.scalars import parse_utc
 from trackloom.operators.clean import clean, require_columns, require_rows
+from trackloom.plans.numbering import LOCAL, PART, numbered, sorted_parts
 from trackloom.schema import (DEVICE_NAMES, DEVICES, FACT_NAMES, FIXES, INFERENCE_COLUMNS, OPTIONAL,
                               RAW_CSV, RAW_NAMES, REQUIRED)
 
@@ -38,10 +39,12 @@ def with_defaults(df: DataFrame) -> DataFrame:
 
 
 def with_id(df: DataFrame) -> DataFrame:
-    """A repeatable row key where the file has none; equal rows are interchangeable anyway."""
+    """A row key where the file has none: dense numbers from 1 in the order of all columns, the required ones first.
+    Equal rows get numbers of their own, and reading the file again gives every row the same one."""
     if "id" in df.columns:
         return df
-    return df.withColumn("id", F.xxhash64(*[F.col(c) for c in REQUIRED]))
+    first = [c for c in REQUIRED if c in df.columns]
+    return numbered(df, [*first, *sorted(c for c in df.columns if c not in first)], "id", start=1)
 
 
 def pick_devices(df: DataFrame, device_id: int | None = None,
@@ -117,21 +120,94 @@ def prepare_for_inference(df: DataFrame) -> DataFrame:
     return require_columns(canonical(df)).orderBy("ts", "id")
 
 
+class PageIndex:
+    """Ordered pages of a table for a viewer, however deep. The rows are written once in ranges of their order; rows
+    per range, one number each, lead to the ranges that hold a page, and nothing else is read."""
+
+    def __init__(self, df: DataFrame, *order: str):
+        self.rows = sorted_parts(df, order, "pages")
+        counts = {r[0]: r[1] for r in self.rows.groupBy(PART).count().collect()}     # one row per range
+        self.starts, self.size = {}, 0
+        for part in sorted(counts):
+            self.starts[part] = self.size
+            self.size += counts[part]
+
+    def page(self, number: int, size: int) -> DataFrame:
+        first, columns = number * size, [c for c in self.rows.columns if c not in (PART, LOCAL)]
+        parts = sorted(self.starts)
+        ends = [*(self.starts[p] for p in parts[1:]), self.size]
+        held = [(p, self.starts[p]) for p, end in zip(parts, ends) if self.starts[p] < first + size and end > first]
+        place, within = F.lit(None).cast("long"), F.lit(False)
+        for part, start in held:
+            here = (F.col(PART) == part) & F.col(LOCAL).between(first - start, first + size - 1 - start)
+            place, within = F.when(F.col(PART) == part, F.col(LOCAL) + start).otherwise(place), within | here
+        return self.rows.filter(within).withColumn("_place", place).orderBy("_place").select(*columns)
+
+
 def page(df: DataFrame, number: int, size: int, *order: str) -> DataFrame:
-    """One ordered page for a viewer; scans themselves never page."""
-    return df.orderBy(*order).offset(number * size).limit(size)
+    """One ordered page for a viewer; scans themselves never page. Keep a `PageIndex` to turn pages."""
+    return PageIndex(df, *order).page(number, size)
 
 
 # Fixed value: one line of a literal INSERT file, ('time', lat, lon, alt, device, label).
-INSERT_LINE = (r"^\s*\('([^']+)',\s*([-+.\deE]+),\s*([-+.\deE]+),\s*([-+.\deE]+|NULL),"
-               r"\s*(\d+),\s*(-?\d+)\)")
+INSERT_LINE = r"^\s*\('([^']*)',\s*([^,()]*?)\s*,\s*([^,()]*?)\s*,\s*([^,()]*?)\s*,\s*([^,()]*?)\s*,\s*([^,()]*?)\s*\)\s*[,;]?\s*$"
+NUMBER = r"^[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?$"
+WHOLE = r"^-?[0-9]+$"
 
+REASON = "reject_reason"
 
-def read_insert_file(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of ``INSERT ... VALUES`` text, one tuple per line."""
+
+def _reasons(*tests: tuple[Column, str]) -> Column:
+    """The first reason whose test holds; null if none does."""
+    out = F.lit(None).cast("string")
+    for test, reason in reversed(tests):
+        out = F.when(test, reason).otherwise(out)
+    return out
+
+
+def parse_insert_lines(lines: DataFrame) -> DataFrame:
+    """Every line that may be a tuple, parsed, with the reason why it is none; statements and blank lines have none
+    and no row either. A NULL altitude is a value."""
     part = lambda i: F.regexp_extract("value", INSERT_LINE, i)
-    return (spark.read.text(path).filter(F.col("value").rlike(INSERT_LINE))
-            .select(parse_utc(part(1)).alias("ts"),
-                    part(2).cast("double").alias("lat"), part(3).cast("double").alias("lon"),
-                    part(4).try_cast("double").alias("alt"),
-                    part(5).cast("long").alias("device_id"), part(6).cast("int").alias("anomaly")))
+    said = lines.filter(F.trim("value").startswith("(") | F.col("value").rlike(INSERT_LINE))
+    number = lambda i: F.when(part(i).rlike(NUMBER), part(i)).try_cast("double")
+    whole = lambda i, kind: F.when(part(i).rlike(WHOLE), part(i)).try_cast(kind)
+    no_altitude = F.upper(part(4)) == "NULL"
+    parsed = said.select("value", parse_utc(part(1)).alias("ts"), number(2).alias("lat"), number(3).alias("lon"), number(4).alias("alt"),
+                         whole(5, "long").alias("device_id"), whole(6, "int").alias("anomaly"), no_altitude.alias("_none"))
+    is_null = lambda c: F.col(c).isNull()
+    return parsed.withColumn(REASON, _reasons(
+        (~F.col("value").rlike(INSERT_LINE), "not a tuple"), (is_null("ts"), "bad time"), (is_null("lat") | is_null("lon"), "bad position"),
+        (is_null("alt") & ~F.col("_none"), "bad altitude"), (is_null("device_id"), "bad device"), (is_null("anomaly"), "bad label"))).drop("_none")
+
+
+def check_track(raw: DataFrame) -> DataFrame:
+    """A track as text, parsed, each row with the reason why it cannot be used, or null; nothing raises or vanishes.
+    A value that is missing is a null; one that is there and cannot be read is a reason."""
+    named = require_columns(raw.withColumnsRenamed({k: v for k, v in FACT_NAMES.items() if k in raw.columns}))
+    kinds = {f.name: f.dataType for f in FIXES}
+    read, bad = {}, {}
+    for name in [c for c in named.columns if c in kinds]:
+        text = F.nullif(F.trim(F.col(name).cast("string")), F.lit(""))
+        read[name] = parse_utc(text) if name == "ts" else text.try_cast(kinds[name])
+        bad[name] = text.isNotNull() & read[name].isNull()
+    others = [n for n in bad if n not in ("ts", "device_id")]
+    reason = _reasons((bad["ts"], "bad time"), (read["ts"].isNull(), "no time"), (bad["device_id"], "bad device"), (read["device_id"].isNull(), "no device"),
+                      *[(bad[n], f"bad {n}") for n in others])
+    return named.select(*[read.get(c, F.col(c)).alias(c) for c in named.columns], reason.alias(REASON))
+
+
+def split_rejects(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good rows, rejects) of a checked read; write it first if both are used."""
+    return checked.filter(F.col(REASON).isNull()).drop(REASON), checked.filter(F.col(REASON).isNotNull())
+
+
+def reject_counts(checked: DataFrame) -> DataFrame:
+    """Rows by reason; those that are good count as ``ok``."""
+    return checked.groupBy(F.coalesce(REASON, F.lit("ok")).alias("reason")).agg(F.count("*").alias("n_rows"))
+
+
+def read_insert_file(spark: SparkSession, path: str) -> DataFrame:
+    """Good rows of ``INSERT ... VALUES`` text, one tuple per line; `parse_insert_lines` tells what was rejected."""
+    good, _ = split_rejects(parse_insert_lines(spark.read.text(path)))
+    return good.drop("value")
