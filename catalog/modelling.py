@@ -19,6 +19,7 @@ from trackloom.operators import devices as D
 from trackloom.operators import metrics as M
 from trackloom.operators.features import build_features, clean_features
 from trackloom.plans import jobs
+from trackloom.plans.permutation import FACTOR, PRIME, ROUNDS
 from trackloom.plans.scratch import materialize, new_path
 from trackloom.plans.search import hyperparameter_search
 from trackloom.plans.selection import quantiles
@@ -67,6 +68,10 @@ SELECT id, {r('-pow(2, -path / (2 * (ln(255) + 0.5772156649015329::DOUBLE) - 2 *
 FROM leaf JOIN paths USING (leaf)"""))
 def score_known_tree(spark, sf_dir):
     rows = fixes(spark, sf_dir).select("id", "value", "alt")
+    return Fr.score(rows, _known_tree(rows)).select("id", rounded(F.col("anomaly_score"), 9).alias("anomaly_score"))
+
+
+def _known_tree(rows):
     v, a = rows.agg(F.avg("value"), F.avg("alt")).first()
     low = F.col("value") <= v
     n = rows.agg(F.count(F.lit(1)), F.count_if(~low), F.count_if(low & (F.col("alt") <= a)),
@@ -74,9 +79,52 @@ def score_known_tree(spark, sf_dir):
     nodes = [("known", 0, 0, 0, v, 1, 2, n[0], 0), ("known", 0, 1, 1, a, 3, 4, n[0] - n[1], 1),
              ("known", 0, 2, -1, 0.0, -1, -1, n[1], 1), ("known", 0, 3, -1, 0.0, -1, -1, n[2], 2),
              ("known", 0, 4, -1, 0.0, -1, -1, n[3], 2)]
-    table = spark.createDataFrame(nodes, Fr.NODES)
-    model = Fr.Model("known", Scaler(("value", "alt"), (0.0, 0.0), (1.0, 1.0)), 256, 1, 0, WHEN, table)
-    return Fr.score(rows, model).select("id", rounded(F.col("anomaly_score"), 9).alias("anomaly_score"))
+    table = rows.sparkSession.createDataFrame(nodes, Fr.NODES)
+    return Fr.Model("known", Scaler(("value", "alt"), (0.0, 0.0), (1.0, 1.0)), 256, 1, 0, WHEN, table)
+
+
+def _network_sql(source: str) -> str:
+    """One pass of the permutation's network over (repeat, row, v, n, a, b); the model's seed is 0."""
+    text = f"SELECT repeat, row, n, a, b, v % a AS l, v // a AS r FROM ({source})"
+    for turn in range(ROUNDS):
+        key = f"((repeat * 104729 + {turn * 7919 + 1}) % {PRIME})"
+        once = f"((@ % {PRIME} * {FACTOR} + {key}) % {PRIME})"
+        mix = f"(({once} * {once} + {key}) % {PRIME})"
+        moved = (f"(l + {mix.replace('@', 'r')}) % a AS l, r" if turn % 2 == 0
+                 else f"l, (r + {mix.replace('@', 'l')}) % b AS r")
+        text = f"SELECT repeat, row, n, a, b, {moved} FROM ({text})"
+    return f"SELECT repeat, row, n, a, b, r * a + l AS v FROM ({text})"
+
+
+@query("WITH RECURSIVE" + with_sql(FIXES_SQL, body=_DEPTH_TWO + f"""
+, scores AS (
+  SELECT leaf, -pow(2, -path / (2 * (ln(255) + 0.5772156649015329::DOUBLE) - 2 * 255 / 256::DOUBLE)) AS score FROM paths),
+placed AS (SELECT row_number() OVER (ORDER BY id, value, alt) - 1 AS row, value, alt FROM fixes),
+size AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM fixes),
+grid AS (SELECT n, a, (n + a - 1) // a AS b FROM size),
+walk AS (
+  {_network_sql("SELECT t.repeat, row, row AS v, n, a, b FROM placed, grid, range(5) t(repeat)")}
+  UNION ALL
+  {_network_sql("SELECT * FROM walk WHERE v >= n")}),
+met AS (
+  SELECT w.repeat, o.value, o.alt, d.value AS new_value, d.alt AS new_alt
+  FROM walk w JOIN placed o ON o.row = w.v JOIN placed d ON d.row = w.row WHERE w.v < w.n),
+leaves AS (
+  SELECT repeat, unnest(['value', 'alt']) AS feature,
+         CASE WHEN value <= v AND alt <= a THEN 2 WHEN value <= v THEN 3 ELSE 1 END AS leaf,
+         unnest([CASE WHEN new_value <= v AND alt <= a THEN 2 WHEN new_value <= v THEN 3 ELSE 1 END,
+                 CASE WHEN value <= v AND new_alt <= a THEN 2 WHEN value <= v THEN 3 ELSE 1 END]) AS new_leaf
+  FROM met, cut),
+drops AS (
+  SELECT feature, repeat, avg(p.score) - avg(q.score) AS importance
+  FROM leaves JOIN scores p ON p.leaf = leaves.leaf JOIN scores q ON q.leaf = new_leaf GROUP BY feature, repeat)
+SELECT feature, {r('avg(importance)', 9)} AS importance_mean, {r('stddev_pop(importance)', 9)} AS importance_std
+FROM drops GROUP BY feature""").removeprefix("WITH"))
+def importance_known_tree(spark, sf_dir):
+    """Permutation importance under a forest derived from the data; SQL repeats the permutations."""
+    rows = fixes(spark, sf_dir).select("id", "value", "alt")
+    found = Fr.feature_importance(rows, _known_tree(rows))
+    return found.select("feature", *[rounded(F.col(c), 9).alias(c) for c in ("importance_mean", "importance_std")])
 
 
 @query()

@@ -17,6 +17,7 @@ from trackloom.models.trees import mean_path
 from trackloom.operators import labels as L
 from trackloom.operators.features import build_features
 from trackloom.plans import jobs
+from trackloom.plans.permutation import permuted
 from trackloom.plans.scratch import materialize, new_path
 from trackloom.schema import FEATURES
 
@@ -163,13 +164,52 @@ def test_permutation_keeps_every_value(spark, rows, model):
         assert r["permuted"] == pytest.approx(r["baseline"], rel=1e-9)
 
 
-def test_few_rows_are_permuted_as_one_block(rows, model):
-    few = materialize(rows.orderBy("id").limit(20), "few")
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 20, 97, 1000, 4099])
+def test_permutation_is_one(spark, n):
+    """Every place is taken once, and the numbers follow a plain loop."""
+    def plain(row, repeat):
+        a = math.isqrt(n - 1) + 1
+        b = -(-n // a)
+        while True:
+            left, right = row % a, row // a
+            for turn in range(6):
+                key = (42 * 1299709 + repeat * 104729 + turn * 7919 + 1) % 2147483647
+                shift = lambda v: (((v % 2147483647 * 48271 + key) % 2147483647) ** 2 + key) % 2147483647  # noqa: B023, E731
+                left, right = ((left + shift(right)) % a, right) if turn % 2 == 0 else (left, (right + shift(left)) % b)
+            row = right * a + left
+            if row < n:
+                return row
+
+    found = spark.range(n).select("id", *[permuted(F.col("id"), n, 42, k).alias(f"p{k}") for k in (0, 1)]).collect()
+    for r in found:
+        assert [r["p0"], r["p1"]] == [plain(r["id"], 0), plain(r["id"], 1)]
+    assert {r["p0"] for r in found} == {r["p1"] for r in found} == set(range(n))
+
+
+def test_importance_does_not_depend_on_blocks_or_layout(rows, model):
+    few = materialize(rows.orderBy("id").limit(120), "few")
     values = few.orderBy("id").select(*FEATURES).toPandas().to_numpy(dtype=float)
-    order = np.random.default_rng([model.seed, 0, 0]).permutation(20)
-    want = model.packed().permuted_scores(values, values[order])[1].mean(axis=0)
-    found = {r["feature"]: r["permuted"] for r in Fr.permuted_scores(few, model, 1, 20).collect()}
-    assert [found[c] for c in FEATURES] == pytest.approx(want.tolist(), rel=1e-12)
+    to = [r[0] for r in few.sparkSession.range(120).orderBy("id").select(permuted(F.col("id"), 120, model.seed, 0)).collect()]
+    donors = np.empty_like(values)
+    donors[to] = values
+    want = model.packed().permuted_scores(values, donors)[1].mean(axis=0)
+    for size in (1, 7, 50_000):
+        cfg = dataclasses.replace(DEFAULT, shuffle_block_rows=size)
+        found = {r["feature"]: r["permuted"] for r in Fr.permuted_scores(few.repartition(3, "lat"), model, 1, 120, cfg).collect()}
+        assert [found[c] for c in FEATURES] == pytest.approx(want.tolist(), rel=1e-12)
+
+
+def test_candidates_are_independent_and_do_not_depend_on_the_number_of_trees(spark):
+    """Hits per tree and pairs of hits, against their expectation; one block's trees and several blocks'."""
+    n, rate = 20_000, 0.05
+    rows = spark.range(n)
+    few, many = (materialize(rows.withColumn("t", F.explode(Fr._candidate_trees(F.col("id"), k, rate, 3))), "c") for k in (10, 150))
+    assert rows_of(few) == rows_of(many.filter("t < 10"))
+    assert many.count() == many.distinct().count()
+    per_tree = [r["count"] for r in many.groupBy("t").count().collect()]
+    assert len(per_tree) == 150 and all(abs(c - n * rate) < 6 * math.sqrt(n * rate) for c in per_tree)
+    pairs = few.alias("a").join(few.alias("b"), "id").filter("a.t < b.t").groupBy("a.t", "b.t").count().collect()
+    assert len(pairs) == 45 and all(abs(r["count"] - n * rate ** 2) < 6 * math.sqrt(n * rate ** 2) for r in pairs)
 
 
 def test_training_and_inference(spark, sf_dir):

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from helpers import CUT, START
 
-from trackloom.plans.selection import before_key, order_statistics, quantiles, row_key_at
+from trackloom.plans.selection import before_key, order_statistics, quantiles, row_key_at, row_keys_at
 
 TINY = dataclasses.replace(CUT, bracket_rows=5, sketch_accuracy=20)
 
@@ -64,3 +64,20 @@ def test_key_at_rank_with_equal_times(spark, rank):
         key = row_key_at(df, rank, ("ts", "id"), cfg)
         assert key[1] == by_hand[rank][0]
         assert df.filter(before_key(df, ("ts", "id"), key)).count() == rank
+
+
+def test_many_keys_share_the_scans(spark):
+    import datetime as dt
+
+    rows = [(i, START + dt.timedelta(seconds=0 if 100 <= i < 900 else i // 3)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp")
+    by_hand = [i for i, _ in sorted(rows, key=lambda r: (r[1], r[0]))]
+    ranks = [1999, 0, 450, 450, 899, 1200, -1, 2000]
+    jobs = []
+    for chosen in ([450], ranks):
+        spark.sparkContext.setJobGroup(f"keys{len(chosen)}", "")
+        keys = row_keys_at(df, chosen, ("ts", "id"), TINY)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"keys{len(chosen)}")))
+        assert [None if k is None else k[1] for k in keys] == [by_hand[i] if 0 <= i < 2000 else None for i in chosen]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] < 2 * jobs[0]        # five keys that exist; one by one they would take five times as many

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 from trackloom.config import DEFAULT, TrackConfig
 from trackloom.models.scaler import Scaler
 from trackloom.models.trees import PackedForest, depth_limit, grow, pack
+from trackloom.plans.numbering import numbered
+from trackloom.plans.permutation import permuted
 from trackloom.plans.scratch import materialize
 from trackloom.schema import MODEL_META, NODES
 from trackloom.session import ship
@@ -59,11 +61,52 @@ def _unit_hash(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
+TREE_BLOCK = 64        # trees whose candidates are drawn together
+
+
+def _hits(rate: float) -> list[float]:
+    """Chances of at most 0, 1, 2, ... hits among the trees of a block, up to where the rest is below 2^-53."""
+    below, total = [], 0.0
+    for k in range(TREE_BLOCK):
+        total += math.comb(TREE_BLOCK, k) * rate ** k * (1 - rate) ** (TREE_BLOCK - k)
+        if 1.0 - total < 2.0 ** -53:
+            break
+        below.append(total)
+    return below
+
+
+def _candidate_trees(key: Column, n_trees: int, rate: float, seed: int) -> Column:
+    """Array of the trees that a row is a candidate for, each with chance ``rate`` and independently.
+
+    For each block of trees one hash gives the number of hits (a binomial draw by its inverse distribution);
+    Floyd's method then picks that many distinct trees, with one hash a hit. A row costs as many hashes as it
+    has hits and blocks, not as there are trees, and a tree's rows do not depend on how many trees there are.
+    """
+    salt, chances = F.lit(seed), _hits(rate)
+    below = F.array(*[F.lit(p) for p in chances])
+    none = F.array().cast("array<int>")
+
+    def chosen(first: int) -> Column:
+        start = F.lit(first)
+        u = _unit_hash(key, start, salt, F.lit(-1))
+        hits = F.size(F.filter(below, lambda p: p <= u))
+
+        def pick(taken: Column, j: Column) -> Column:
+            at = F.pmod(F.xxhash64(key, start, salt, j), (j + 1).cast("long")).cast("int")
+            return F.array_append(taken, F.when(F.array_contains(taken, at), j).otherwise(at))
+
+        places = F.aggregate(F.sequence(F.lit(TREE_BLOCK) - hits, F.lit(TREE_BLOCK - 1)), none, pick)
+        return F.when(u < F.lit(chances[0]), none).otherwise(F.transform(places, lambda t: t + start))
+
+    blocks = F.concat(*[chosen(first) for first in range(0, n_trees, TREE_BLOCK)])
+    return F.filter(blocks, lambda t: t < F.lit(n_trees))
+
+
 def draw_samples(rows: DataFrame, n: int, psi: int, n_trees: int, seed: int) -> DataFrame:
-    """The ``min(psi, n)`` rows of smallest hash for each tree: (tree_id, id, ...). ``rows`` has an ``id``.
+    """``min(psi, n)`` rows for each tree: (tree_id, id, ...). ``rows`` has an ``id``, which alone decides.
 
-    Whether a row can be among them is decided by its hash alone, at a rate that leaves a wide margin; if a
-    tree still came out short, all trees are drawn again at twice the rate. The rate never shows in the result.
+    Candidates are drawn at a rate that leaves a wide margin (it follows from ``n`` and ``psi``); of them each
+    tree takes those of smallest hash. If a tree came out short, all trees are drawn again at twice the rate.
     """
     key, salt = F.col("id"), F.lit(seed)
     wanted = min(psi, n)
@@ -71,8 +114,8 @@ def draw_samples(rows: DataFrame, n: int, psi: int, n_trees: int, seed: int) ->
         raise ValueError("no rows to draw from")
     rate = (psi + 8 * math.sqrt(psi) + 32) / n
     while True:
-        trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                         lambda t: _unit_hash(key, t, salt) < F.lit(min(1.0, rate)))
+        trees = (_candidate_trees(key, n_trees, rate, seed) if rate < 1
+                 else F.sequence(F.lit(0), F.lit(n_trees - 1)))
         drawn = materialize(rows.withColumn("tree_id", F.explode(trees)), "drawn")
         full = drawn.groupBy("tree_id").count().filter(F.col("count") >= wanted).count()
         if full == n_trees or rate >= 1:
@@ -212,38 +255,44 @@ def _shared_features(models) -> tuple[str, ...]:
     return kinds.pop()
 
 
-PARALLEL_ROWS = 4096   # rows of a block of the permutation that is made for parallelism only
-
-
 def permuted_scores(rows: DataFrame, model: Model, repeats: int, n: int,
                     cfg: TrackConfig = DEFAULT) -> DataFrame:
-    """(feature, repeat, mean baseline score, mean score with that feature permuted).
+    """(feature, repeat, mean baseline score, mean score with that feature permuted over all rows).
 
-    One shuffle deals the rows into random blocks; each block is permuted for all repeats in its task, which
-    returns sums only. Blocks hold about ``shuffle_block_rows`` rows at most; up to 64 are made
-    for parallelism where each still gets some thousand rows, so that few rows are permuted as one block.
+    Rows are numbered in the order of their ids and values, and a keyed permutation of the numbers says whose
+    values each row gets. Rows meet their donors by the block of their number, which holds
+    ``shuffle_block_rows`` rows at most and decides nothing but the size of tasks; a task scores and traces its
+    rows once for all repeats and returns sums only.
     """
     features, seed = list(model.scaler.features), model.seed
-    blocks = max(1, min(64, n // PARALLEL_ROWS), math.ceil(n / cfg.shuffle_block_rows))
-    dealt = rows.select("id", *[F.col(c).cast("double").alias(c) for c in features]).withColumn(
-        "_block", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(blocks)))
     session = rows.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    held = max(1, min(cfg.shuffle_block_rows, math.ceil(n / (4 * tasks))))
+    inputs = rows.select("id", *[F.col(c).cast("double").alias(c) for c in features])
+    placed = materialize(numbered(inputs, ["id", *features], "_row").drop("id"), "numbered")
+    block = F.floor(F.col("_row") / F.lit(held)).alias("_block")
+    values = F.array(*features)
+    own = placed.select(block, "_row", values.alias("x"))
+    places = [F.struct(F.lit(i).alias("repeat"), permuted(F.col("_row"), n, seed, i).alias("row"))
+              for i in range(repeats)]
+    given = (placed.withColumn("_to", F.explode(F.array(*places)))
+                   .select(F.col("_to.repeat").alias("_repeat"), F.col("_to.row").alias("_row"), values.alias("x"))
+                   .select(block, "_repeat", "_row", "x"))
     packed = session.sparkContext.broadcast(model.packed())
 
-    def sums(group: pd.DataFrame) -> pd.DataFrame:
-        forest, block = packed.value, int(group["_block"].iloc[0])
-        values = group.sort_values("id")[features].to_numpy(dtype=float)
-        out = []
-        for repeat in range(repeats):
-            order = np.random.default_rng([seed, repeat, block]).permutation(len(values))
-            plain, permuted = forest.permuted_scores(values, values[order])
-            out += [(i, repeat, len(values), plain.sum(), permuted[:, i].sum()) for i in range(len(features))]
+    def sums(mine: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
+        if len(donors) != repeats * len(mine):
+            raise ValueError(f"{len(mine)} rows met {len(donors)} donors: n is not the number of rows")
+        mine = np.stack(mine.sort_values("_row")["x"].to_numpy())
+        donors = np.stack(donors.sort_values(["_repeat", "_row"])["x"].to_numpy())
+        plain, *changed = packed.value.permuted_scores(mine, *np.split(donors, repeats))
+        out = [(i, repeat, len(mine), plain.sum(), scores[:, i].sum())
+               for repeat, scores in enumerate(changed) for i in range(len(features))]
         return pd.DataFrame(out, columns=["slot", "repeat", "rows", "plain", "permuted"])
 
-    # Scoring dominates: an explicit partition count keeps small inputs on all cores.
-    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    ship(session)
     named = F.element_at(F.array(*[F.lit(c) for c in features]), F.col("slot") + 1)
-    return (dealt.repartition(tasks, "_block").groupBy("_block")
+    return (own.groupBy("_block").cogroup(given.groupBy("_block"))
             .applyInPandas(sums, "slot int, repeat int, rows long, plain double, permuted double")
             .groupBy(named.alias("feature"), "repeat")
             .agg((F.sum("plain") / F.sum("rows")).alias("baseline"),

@@ -82,17 +82,17 @@ class PackedForest:
                         out[part, j] = self._score(total, count)
         return out
 
-    def permuted_scores(self, own: np.ndarray, donor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores as they are, and per feature with only that feature taken from the donor row.
+    def permuted_scores(self, own: np.ndarray, *donors: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Scores as they are, and per donor table and feature with only that feature taken from the donor row.
 
         Another value of a feature matters to a tree only where the row's path tests that
-        feature, so only those (row, feature) pairs descend a second time.
+        feature, so only those (row, feature) pairs descend again; the own path is traced once for all donors.
         """
-        plain, permuted = np.empty(len(own)), np.empty(own.shape)
+        plain, permuted = np.empty(len(own)), [np.empty(own.shape) for _ in donors]
         for start in range(0, len(own), BLOCK):
             part = slice(start, start + BLOCK)
-            x, y = self.scaled(own[part]), self.scaled(donor[part])
-            total, change = np.zeros(len(x)), np.zeros(x.shape)
+            x, others = self.scaled(own[part]), [self.scaled(d[part]) for d in donors]
+            total, changes = np.zeros(len(x)), [np.zeros(x.shape) for _ in donors]
             for tree, (visited, path) in enumerate(self._descend(x, len(self.feature), trace=True)):
                 total += path
                 feature, threshold = self.feature[tree], self.threshold[tree]
@@ -101,15 +101,17 @@ class PackedForest:
                     inner = np.flatnonzero(np.isfinite(threshold[at]))
                     tested[inner, feature[at[inner]]] = True
                 row, column = np.nonzero(tested)
-                at = np.zeros(len(row), dtype=np.intp)
-                for _ in range(self.depth):
-                    f = feature[at]
-                    value = np.where(f == column, y[row, f], x[row, f])
-                    at = 2 * at + 1 + (value > threshold[at])
-                change[row, column] += self.path[tree][at - self.first_leaf] - path[row]
+                for y, change in zip(others, changes):
+                    at = np.zeros(len(row), dtype=np.intp)
+                    for _ in range(self.depth):
+                        f = feature[at]
+                        value = np.where(f == column, y[row, f], x[row, f])
+                        at = 2 * at + 1 + (value > threshold[at])
+                    change[row, column] += self.path[tree][at - self.first_leaf] - path[row]
             plain[part] = self._score(total, len(self.feature))
-            permuted[part] = self._score(total[:, None] + change, len(self.feature))
-        return plain, permuted
+            for out, change in zip(permuted, changes):
+                out[part] = self._score(total[:, None] + change, len(self.feature))
+        return plain, *permuted
 
     @property
     def first_leaf(self) -> int:

@@ -8,18 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.config import DEFAULT, TrackConfig
-from trackloom.plans.selection import before_key, row_key_at
+from trackloom.plans.selection import before_key, row_keys_at
 
 ORDERS = {"time": ("ts", "id"), "device_time": ("device_id", "ts", "id")}
 
 
+def _sizes(df: DataFrame, column: str, rows: int | None) -> tuple[int, int | None]:
+    """Rows in all and rows with a value in ``column``, from one scan; the latter is None if not counted here."""
+    if rows is not None:
+        return rows, None
+    return tuple(df.agg(F.count(F.lit(1)), F.count(column)).first())
+
+
 def add_split(df: DataFrame, test_ratio: float | None = None, order: str = "time",
               cfg: TrackConfig = DEFAULT, rows: int | None = None) -> DataFrame:
     """Column ``split``: 'train' on the first ``int(n * (1 - ratio))`` rows, else 'test'."""
     ratio = cfg.test_ratio if test_ratio is None else test_ratio
     columns = ORDERS[order]
-    total = df.count() if rows is None else rows
-    key = row_key_at(df, int(total * (1 - ratio)), columns, cfg)
+    total, dated = _sizes(df, columns[0], rows)
+    [key] = row_keys_at(df, [int(total * (1 - ratio))], columns, cfg, dated)
     return df.withColumn("split", F.when(before_key(df, columns, key), "train").otherwise("test"))
 
 
@@ -45,13 +52,12 @@ def add_fold_block(df: DataFrame, folds: int | None = None, order: str = "time",
     """
     folds = cfg.search_folds if folds is None else folds
     columns: Sequence[str] = ORDERS[order]
-    total = df.count() if rows is None else rows
+    total, dated = _sizes(df, columns[0], rows)
     size = total // (folds + 1)
+    cuts = [total - (folds - f + 1) * size for f in range(1, folds + 1)]
     block = F.lit(folds)
-    for f in range(folds, 0, -1):
-        key = row_key_at(df, total - (folds - f + 1) * size, columns, cfg)
-        block = F.when(before_key(df, columns, key), F.lit(f - 1)).otherwise(block)
-
+    for f, key in reversed(list(enumerate(row_keys_at(df, cuts, columns, cfg, dated)))):
+        block = F.when(before_key(df, columns, key), F.lit(f)).otherwise(block)
     return df.withColumn("block", block)
 
 

@@ -55,6 +55,12 @@ def order_statistics(df: DataFrame, wanted: Sequence[tuple[str, int]],
                      cfg: TrackConfig = DEFAULT,
                      counts: Mapping[str, int] | None = None) -> list[Any]:
     """Exact value at each (column, zero-based rank); None where the rank does not exist."""
+    return [t.value for t in _select(df, wanted, cfg, counts)]
+
+
+def _select(df: DataFrame, wanted: Sequence[tuple[str, int]], cfg: TrackConfig,
+            counts: Mapping[str, int] | None = None) -> list[_Target]:
+    """Finished targets: the value, how many rows lie below it and how many are equal to it."""
     columns = list(dict.fromkeys(c for c, _ in wanted))
     df = df.select(*columns)
     if counts is None:
@@ -67,7 +73,7 @@ def order_statistics(df: DataFrame, wanted: Sequence[tuple[str, int]],
         if sum(t.inside for t in pending if not t.done) > before // 2:
             accuracy *= 10  # a sketch that hardly helps gets finer
     _read_out(df, [t for t in targets if not t.done])
-    return [t.value for t in targets]
+    return targets
 
 
 def _narrow(df: DataFrame, pending: list[_Target], accuracy: int) -> None:
@@ -110,7 +116,7 @@ def _narrow(df: DataFrame, pending: list[_Target], accuracy: int) -> None:
                 seen += held
             gap = code // 2
             if code % 2:
-                t.value, t.done = cuts[i][gap], True
+                t.value, t.below, t.inside, t.done = cuts[i][gap], seen, held, True
             else:
                 t.low = cuts[i][gap - 1] if gap else t.low
                 t.high = cuts[i][gap] if gap < len(cuts[i]) else t.high
@@ -142,7 +148,7 @@ def _read_out(df: DataFrame, targets: list[_Target]) -> None:
         seen = t.below
         for value, count in sorted(held[slots[t.bracket]]):
             if seen <= t.rank < seen + count:
-                t.value, t.done = value, True
+                t.value, t.below, t.inside, t.done = value, seen, count, True
                 break
             seen += count
 
@@ -190,25 +196,39 @@ def quantile(df: DataFrame, column: str, q: float, cfg: TrackConfig = DEFAULT) -
     return F.lit(quantiles(narrow, {column: [q]}, cfg)[column][0]).cast("double")
 
 
-def row_key_at(df: DataFrame, rank: int, order: Sequence[str],
-               cfg: TrackConfig = DEFAULT) -> tuple | None:
-    """Ordering key of the row at a zero-based rank; a timestamp is returned in microseconds.
+def row_keys_at(df: DataFrame, ranks: Sequence[int], order: Sequence[str], cfg: TrackConfig = DEFAULT,
+                count: int | None = None) -> list[tuple | None]:
+    """Ordering keys of the rows at several zero-based ranks; timestamps are returned in microseconds.
 
-    The key is found column by column: the value of the first column at that rank, then, among
-    the rows sharing it, the value of the next.
+    The keys are found column by column: the values of the first column at the ranks, then, among the
+    rows sharing each of them, the values of the next. All ranks share the scans of a column, so that
+    the scans are those of the rank that takes most rounds. ``count``: non-null values of the
+    first column, if known. A rank that does not exist gives None.
     """
-    if rank < 0:
-        return None
     keyed = df.select(*[_number(df, c) for c in order])
-    key = []
-    for c in order:
-        [value] = order_statistics(keyed, [(c, rank)], cfg)
-        if value is None:
-            return None
-        key.append(value)
-        rank -= keyed.filter(F.col(c) < F.lit(value)).count()
-        keyed = keyed.filter(F.col(c) == F.lit(value))
-    return tuple(key)
+    found: dict[int, tuple[tuple, int, int]] = {      # rank: (key so far, rank among equal rows, their number)
+        r: ((), r, count) for r in dict.fromkeys(ranks) if r >= 0}
+    for depth, column in enumerate(order):
+        slots = {key: f"_k{i}" for i, key in enumerate(dict.fromkeys(key for key, _, _ in found.values()))}
+        counts = {slots[key]: held for key, _, held in found.values()}
+        rows = keyed.selectExpr(*[f"{_among(order[:depth], key, column)} AS {name}" for key, name in slots.items()])
+        targets = _select(rows, [(slots[key], at) for key, at, _ in found.values()], cfg,
+                          None if None in counts.values() else counts) if found else []
+        found = {rank: ((*key, t.value), t.rank - t.below, t.inside)
+                 for (rank, (key, _, _)), t in zip(found.items(), targets) if t.value is not None}
+    return [found[r][0] if r in found else None for r in ranks]
+
+
+def _among(columns: Sequence[str], key: tuple, out: str) -> str:
+    """SQL text: column ``out`` of the rows that share the key, null elsewhere."""
+    tests = " AND ".join(f"`{c}` = {_literal(v)}" for c, v in zip(columns, key))
+    return f"CASE WHEN {tests} THEN `{out}` END" if tests else f"`{out}`"
+
+
+def row_key_at(df: DataFrame, rank: int, order: Sequence[str],
+               cfg: TrackConfig = DEFAULT) -> tuple | None:
+    """``row_keys_at`` for one rank."""
+    return row_keys_at(df, [rank], order, cfg)[0]
 
 
 def _number(df: DataFrame, column: str) -> Column:
