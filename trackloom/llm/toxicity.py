@@ -11,8 +11,9 @@ A member screens words by the difference of their document frequencies and fits
 ones; a text's score is the mean of its members' probabilities. Every text is scored whole.
 
 Null and empty texts have no words and get the members' bias. Labels that are null are no positives. Without a
-positive or an unlabelled row the score is 0. Repeated labels count once, as toxic if any of them is; repeated
-rows and null ids are each scored; other columns are ignored.
+positive or an unlabelled row the score is 0. Repeated labels count once, as toxic if any of them is; an id with
+several texts is fitted with the smallest of them; repeated rows and null ids are each scored; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -82,6 +83,7 @@ def fit_pu(p: np.ndarray, u: np.ndarray, prior: float, rounds: int = 400, rate:
 
 def _fit(prior: float, most: int):
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("positive", "ascending")])     # sums repeat exactly, whatever order rows came in
         texts = [set(x) for x in table["words"].to_pylist()]
         positive = table["positive"].to_numpy()
         a = [t for t, y in zip(texts, positive) if y == 1]
@@ -107,8 +109,8 @@ def _fit(prior: float, most: int):
 def _words(batches):
     for batch in batches:
         words = [sorted(words_of(t.as_py())) for t in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string()))],
-                                         names=["member", "positive", "words"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string())), batch.column(3).cast(pa.int64())],
+                                         names=["member", "positive", "words", "doc_id"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, members: int = MEMBERS, positives: int = POSITIVES,
@@ -126,8 +128,10 @@ def fit(docs: DataFrame, labels: DataFrame, members: int = MEMBERS, positives: i
     p = known.filter("toxic = 1").orderBy("order", "doc_id").limit(positives).withColumn("positive", F.lit(1))
     u = known.withColumn("order", F.xxhash64(F.col("doc_id"), F.lit(8))).orderBy("order", "doc_id").limit(unlabelled).withColumn("positive", F.lit(0))
     chosen = p.unionByName(u).select("doc_id", "positive", F.pmod("order", F.lit(members)).cast("int").alias("member"))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")      # at most positives + unlabelled rows
-    fitted = (texts.select("member", "positive", "text").mapInArrow(_words, "member int, positive int, words array<string>")
+    # copies of a chosen id end before the shuffle, so what follows has at most positives + unlabelled rows
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    fitted = (texts.join(F.broadcast(chosen), "doc_id").select("member", "positive", "text", "doc_id")
+                   .mapInArrow(_words, "member int, positive int, words array<string>, doc_id long")
                    .groupBy("member").applyInArrow(_fit(prior, words), MODEL).collect())
     return [(r.bias, dict(zip(r.words, r.weights))) for r in sorted(fitted, key=lambda r: r.member)]
 
