@@ -1,4 +1,5 @@
 import random
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -80,3 +81,18 @@ def test_odd_rows(spark):
     assert kept.schema == docs.schema and sorted(map(str, (r.doc_id for r in kept.collect()))) == ["2", "5", "5", "None", "None"]
     assert D.pairs(docs, bench.limit(0)).count() == 0 and D.pairs(docs.limit(0), bench).count() == 0
     assert D.without_leaks(docs, bench.limit(0)).count() == 7
+
+
+def test_short_items_letter_for_letter(spark):
+    rng = random.Random(5)
+    docs = [(i, "".join(rng.choice("ab c.") for _ in range(rng.randint(0, 40)))) for i in range(200)] + [(900, None), (901, ""), (902, "AB\n C")]
+    items = [(1, "ab c"), (2, "a"), (3, "."), (4, "  "), (5, None), (6, "b.b"), (7, "a passage longer than twenty letters")]
+    alone = {k: re.compile((r"(?<![^\W_])" if b[0].isalnum() else "") + re.escape(b) + (r"(?![^\W_])" if b[-1].isalnum() else ""))
+             for k, b in ((k, D.normal(t)) for k, t in items) if b}
+    want = {(i, k, m.start(), m.end()) for i, t in docs for k, p in alone.items() if (m := p.search(D.normal(t)))}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = D.pairs(frame, bench, short_exact=True).collect()
+    assert {(r.doc_id, r.item_id, r.start, r.end) for r in got} == want and len(got) == len(want) > 50 and (902, 1, 0, 4) in want
+    assert {r.doc_id for r in D.without_leaks(frame, bench, short_exact=True).collect()} == {i for i, _ in docs} - {w[0] for w in want}
+    assert D.pairs(frame, bench).count() == 0 and D.without_leaks(frame, bench).count() == len(docs)

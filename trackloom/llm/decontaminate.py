@@ -8,8 +8,9 @@ bit-parallel distance of the whole item decides, so the result is exactly the pa
 The benchmark is dealt into blocks of a bounded number of characters; each block is one pass over the
 documents with that block's items on every worker. No pair of document and item is made without a hit.
 
-Items that are null or shorter than ``shortest`` normal characters identify nothing and are not searched.
-Null and empty texts contain nothing. Null ids are carried; a repeated row gives its pairs again, equal
+Items shorter than ``shortest`` normal characters identify little: by default they are not searched; with
+``short_exact`` they must occur letter for letter, not inside a longer word. Null items and items without a
+letter are in no document. Null and empty texts contain nothing. Null ids are carried; a repeated row gives its pairs again, equal
 benchmark items each give theirs; empty tables give no pairs; other columns are ignored.
 """
 
@@ -72,18 +73,24 @@ def nearest(where: dict[str, int], m: int, text: str, anchored: bool = False) ->
     return best, end
 
 
+def alone(text: str, start: int, end: int) -> bool:
+    """Whether no word goes on over either end of the span."""
+    return not (start and text[start - 1].isalnum() and text[start].isalnum()
+                or end < len(text) and text[end].isalnum() and text[end - 1].isalnum())
+
+
 class Items:
     """An automaton over the pieces of some items."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, shortest: int = SHORTEST):
         import ahocorasick
 
         self.items = []
         at: dict[str, list[tuple[int, int]]] = {}
         for k, (item_id, text) in enumerate(items):
-            budget = int(rate * len(text))
+            budget = int(rate * len(text)) if len(text) >= shortest else None       # None: letter for letter
             self.items.append((item_id, text, budget, letters(text), letters(text[::-1])))
-            for offset, piece in pieces(text, budget):
+            for offset, piece in pieces(text, budget or 0):
                 at.setdefault(piece, []).append((k, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, places in at.items():
@@ -100,6 +107,11 @@ class Items:
         for k, likely in starts.items():
             item_id, item, budget, where, backwards = self.items[k]
             n, best, done = len(item), None, None
+            if budget is None:
+                own = next((s for s in sorted(likely) if alone(text, s, s + n)), None)
+                if own is not None:
+                    out.append((item_id, 0, own, own + n))
+                continue
             spans: list[list[int]] = []
             for start in sorted(likely):
                 if spans and start - spans[-1][1] <= budget:
@@ -123,11 +135,11 @@ class Items:
 _MADE: dict[str, Items] = {}
 
 
-def _items(block, rate: float) -> Items:
+def _items(block, rate: float, shortest: int) -> Items:
     name, items = block.value
     if name not in _MADE:
         _MADE.clear()
-        _MADE[name] = Items(items, rate)
+        _MADE[name] = Items(items, rate, shortest)
     return _MADE[name]
 
 
@@ -145,14 +157,14 @@ def _blocks(benchmark: DataFrame, shortest: int, block_chars: int):
 
 
 def pairs(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, shortest: int = SHORTEST,
-          block_chars: int = BLOCK_CHARS) -> DataFrame:
+          block_chars: int = BLOCK_CHARS, short_exact: bool = False) -> DataFrame:
     """`doc_id, item_id, distance, start, end` of every document (doc_id, text) and item (item_id, text) with
     a copy within the budget: its best place in the normal text, the first of equally good ones."""
     ship(docs.sparkSession)
 
     def search(block):
         def run(batches):
-            items = _items(block, rate)
+            items = _items(block, rate, shortest)
             for batch in batches:
                 out = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1))
                        for hit in items.found(normal(text.as_py()))]
@@ -164,25 +176,25 @@ def pairs(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, shortest: i
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     found = None
-    for block in _blocks(benchmark, shortest, block_chars):
+    for block in _blocks(benchmark, 1 if short_exact else shortest, block_chars):
         part = rows.mapInArrow(search(block), PAIRS)
         found = part if found is None else found.union(part)
     return rows.sparkSession.createDataFrame([], PAIRS) if found is None else found
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, shortest: int = SHORTEST,
-                  block_chars: int = BLOCK_CHARS) -> DataFrame:
+                  block_chars: int = BLOCK_CHARS, short_exact: bool = False) -> DataFrame:
     """The rows of `docs` whose text holds no item; all columns stay, nothing is shuffled."""
     ship(docs.sparkSession)
 
     def keep(block):
         def run(batches):
-            items = _items(block, rate)
+            items = _items(block, rate, shortest)
             for batch in batches:
                 text = batch.column(batch.schema.get_field_index("text"))
                 yield batch.filter(pa.array([not items.found(normal(t.as_py())) for t in text], pa.bool_()))
         return run
 
-    for block in _blocks(benchmark, shortest, block_chars):
+    for block in _blocks(benchmark, 1 if short_exact else shortest, block_chars):
         docs = docs.mapInArrow(keep(block), docs.schema)
     return docs

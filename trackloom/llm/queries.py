@@ -69,7 +69,7 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the item, its edits and its place."""
-    return decontaminate.pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short_exact=True)
 
 
 @query()
