@@ -6,6 +6,7 @@ import numpy as np
 from tests_llm import odd_documents
 
 from trackloom.llm import queries, toxicity
+from trackloom.llm.common import whole
 
 
 def test_held_out_accuracy(spark):
@@ -107,3 +108,9 @@ def test_long_text(spark):
     text = "vile " * 200_000 + "x" * 1_000_000
     scored = toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), [(-1.0, {"vile": 3.0})]).collect()
     assert abs(scored[0].score - 1 / (1 + math.exp(-2))) < 1e-12
+
+
+def test_only_texts_go_through_python(docs):
+    scored = toxicity.score(docs.select(whole(docs), "text"), [(0.0, {"the": 1.0})])
+    plan = scored.filter("score < 0.5").select("_doc.*")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1

@@ -68,7 +68,7 @@ def _pieces(tokenizer: str, end_id: int, capacity: int, with_ids: bool):
                         size += len(own)
                     met[length] += 1
                     at, piece = at + length, piece + 1
-                if size > 1 << 24:
+                if size > 1 << 22:
                     yield made(out)
                     out, size = [[] for _ in kinds[1:]], 0
                     nth, docs, rows, pieces, starts, lengths, sums, *kept = out

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -153,20 +154,15 @@ def _tables(model):
 
 
 def score(docs: DataFrame, model: list[tuple[float, dict[str, float]]]) -> DataFrame:
-    """All rows and columns of `docs` with a `score` from 0 to 1."""
-    from pyspark.sql.types import DoubleType, StructType
-
+    """All rows and columns of `docs` with a `score` from 0 to 1. Only the texts go through Python."""
     ship(docs.sparkSession)
     if "score" in docs.columns:
         docs = docs.drop("score")
-    schema = StructType(docs.schema.fields + StructType().add("score", DoubleType()).fields)
     sent = docs.sparkSession.sparkContext.broadcast(_tables(model))
 
-    def run(batches):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weight, bias = sent.value
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            values = [score_text(t.as_py(), weight, bias) if len(bias) else 0.0 for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, "score"])
+        for texts in batches:
+            yield pa.array([score_text(t.as_py(), weight, bias) if len(bias) else 0.0 for t in texts], pa.float64())
 
-    return docs.mapInArrow(run, schema)
+    return docs.withColumn("score", F.arrow_udf(run, "double")("text"))
