@@ -1,7 +1,9 @@
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -114,3 +116,30 @@ def test_added_tokens_in_a_text_are_what_the_library_makes_of_them(spark):
         assert packed[i].length == len(ids) and packed[i].ids_crc32 == zlib.crc32(ids.tobytes())
         ids = np.array(word.encode(text, add_special_tokens=False).ids + [2], "<u4")
         assert kept[i].n_tokens == len(ids) and kept[i].ids_crc32 == zlib.crc32(ids.tobytes())
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_closed_words_go_the_short_way(path, monkeypatch):
+    text = "Some words*** (in brackets), a_b$$ or naïve%%% ones;\nend... words*** and words*** it's Größe#"
+    encoder = Encoder(path, added=True)
+    whole, met = encoder._whole, []
+    monkeypatch.setattr(encoder, "_whole", lambda chunks: met.extend(chunks) or whole(chunks))
+    got = [encoder.encode_one(text) for _ in range(3)]
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert got == [np.asarray(want, "<u4").tobytes()] * 3
+    assert [m.strip() for m in met] == ["(in", "a_b", "it's"]
+
+
+def test_an_idle_worker_gives_its_chunks_back(monkeypatch):
+    from trackloom.llm import tokenizer
+
+    monkeypatch.setattr(tokenizer, "IDLE", 0.05)
+    encoder = Encoder(BYTE)
+    first = encoder.encode_one("some words, and more\nwords")
+    assert encoder.known and encoder.spaced
+    for _ in range(100):
+        if not encoder.known and not encoder.spaced:
+            break
+        time.sleep(0.05)
+    assert not encoder.known and not encoder.spaced
+    assert encoder.encode_one("some words, and more\nwords") == first

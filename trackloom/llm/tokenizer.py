@@ -2,27 +2,33 @@
 
 Both kinds of file cut a text into words before any merge, and no word spans the places where this
 module cuts, so the ids of a text are the ids of its chunks in order. A worker keeps the ids of chunks
-it has met as little-endian unsigned 32-bit integers. Chunks of Latin letters with closing punctuation
+it has met as little-endian unsigned 32-bit integers. Closing punctuation is looked up apart from what it closes;
+the two are remembered together from the second time on. Chunks of Latin letters
 go straight to the library's merge model; all others go through its whole encoding, and so do whole texts that
 hold a token the file adds, such as <|endoftext|>: like the library, `encoder` takes it for that token. Two generations of
-``CHUNKS`` entries bound the memory; dropping one changes no result.
+``CHUNKS`` entries bound the memory, and a worker without texts for ``IDLE`` seconds gives it back; dropping
+entries changes no result.
 """
 
 from __future__ import annotations
 
 import re
 import sys
+import threading
+import time
 from array import array
 from functools import lru_cache
 
 import numpy as np
 
-CHUNKS = 350_000      # remembered chunks per generation and worker
+CHUNKS = 300_000      # remembered chunks per generation and worker
 LONGEST = 64          # longer chunks are encoded, not remembered
+IDLE = 8.0            # seconds without a text until a worker forgets its chunks
 
-_TWO_SPACES = re.compile(r"\s\s")
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?=\s)")
-_PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+_PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_CLOSING = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"      # all of ASCII but the apostrophe, which may begin a word's ending
+_CLOSED = frozenset(c for c in map(chr, range(0x30, 0x100)) if c.isascii() and c.isalnum() or "À" <= c <= "ÿ" and c not in "×÷")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -35,14 +41,16 @@ def _byte_letters() -> dict[int, str]:
 class _Known(dict):
     """Ids by chunk; a chunk that is not there is learnt, and kept unless it is long."""
 
-    def __init__(self, learn):
-        self.learn = learn
+    def __init__(self, learn, lead: str = ""):
+        self.learn, self.lead, self.older = learn, lead, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.learn(chunk)
-        if len(chunk) <= LONGEST:
-            self[chunk] = ids
-        return ids
+        return self.learn(self, chunk)
+
+    def turn(self) -> None:
+        """Begins a generation; of the one before, what is met again moves over."""
+        self.older = dict(self)
+        self.clear()
 
 
 class Encoder:
@@ -64,13 +72,18 @@ class Encoder:
         self.drops_space = normal is not None and not self._whole([" "])[0]
         if normal is not None and not self.drops_space:
             raise ValueError("only files that drop white space may normalise")
-        self.known, self.older = _Known(self._learn), {}
+        self._forget()
         self.ends: dict[str, bytes] = {}      # closing punctuation of at most four characters
+        self.texts, self.watched = 0, False
         if array("I").itemsize != 4 or sys.byteorder != "little":
             raise RuntimeError("needs little-endian 32-bit unsigned integers")
         # The short way must be this file's own way; a file of another kind never takes it.
-        probe = ["Ünited", " naïve,", "So...", " x"]
-        self.short = [self._plain(_PLAIN.fullmatch(p)) for p in probe] == self._whole(probe)
+        probe = ["Ünited", " naïve,", "So...", " x", " (7)", "so_$#", ' "Ab"']
+        probe = [p.strip() for p in probe] if self.drops_space else probe
+        self.short = True
+        self.short = list(map(self.known.__getitem__, probe)) == self._whole(probe)
+        self._forget()
+        self.feed = self._whole(["\n"])[0]
 
     def _whole(self, chunks: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(chunks, add_special_tokens=False)
@@ -83,31 +96,44 @@ class Encoder:
             piece = self.letters[32] + piece[1:]
         return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
-    def _plain(self, parts: re.Match) -> bytes:
-        """Ids of letters and closing punctuation; the letters alone and the punctuation are remembered too."""
-        space, word, end = parts.groups()
-        spaced = space + word
-        ids = self.known.get(spaced)
+    def _learn(self, known: _Known, chunk: str) -> bytes:
+        if self.short and chunk[-1:] not in _CLOSED:
+            word = chunk.rstrip(_CLOSING)
+            if len(word) < len(chunk) and word and word[-1] in _CLOSED:     # letters or digits end before the punctuation
+                met = word in known and len(chunk) <= LONGEST
+                ids = known[word] + self._closing(chunk[len(word):])
+                if met:     # a word met once is not remembered twice
+                    known[chunk] = ids
+                return ids
+        ids = known.older.get(chunk)
         if ids is None:
-            ids = self.older.get(spaced)
+            if self.short and _PLAIN.fullmatch(chunk):
+                ids = self._piece(chunk.lower() if self.drops_space else known.lead + chunk)
+            else:
+                ids = self._whole([known.lead + chunk])[0]
+        if len(chunk) <= LONGEST:
+            known[chunk] = ids
+        return ids
+
+    def _closing(self, end: str) -> bytes:
+        ids = self.ends.get(end)
         if ids is None:
-            ids = self._piece(word.lower() if self.drops_space else spaced)
-            if len(spaced) <= LONGEST:
-                self.known[spaced] = ids
-        if end:
-            closing = self.ends.get(end)
-            if closing is None:
-                closing = self._piece(end)
-                if len(end) <= 4:
-                    self.ends[end] = closing
-            ids += closing
+            ids = self._piece(end)
+            if len(end) <= 4 and len(self.ends) < CHUNKS:
+                self.ends[end] = ids
         return ids
 
-    def _learn(self, chunk: str) -> bytes:
-        ids = self.older.get(chunk)
-        if ids is None and self.short and (parts := _PLAIN.fullmatch(chunk)):
-            ids = self._plain(parts)
-        return self._whole([chunk])[0] if ids is None else ids
+    def _forget(self) -> None:
+        self.known, self.spaced = _Known(self._learn), _Known(self._learn, " ")
+
+    def _watch(self) -> None:
+        """Runs beside the tasks, which keep what they are reading and learn the rest again."""
+        before = -1
+        while before != self.texts:
+            before = self.texts
+            time.sleep(IDLE)
+        self.watched = False
+        self._forget()
 
     def _join(self, chunks: list[str]) -> bytes:
         return b"".join(map(self.known.__getitem__, chunks))
@@ -117,14 +143,24 @@ class Encoder:
             return b""
         if any(t in text for t in self.added):
             return self._whole([text])[0]
-        if len(self.known) > CHUNKS:
-            self.older, self.known = dict(self.known), _Known(self._learn)
+        self.texts += 1
+        if not self.watched:
+            self.watched = True
+            threading.Thread(target=self._watch, daemon=True).start()
+        for known in (self.known, self.spaced):
+            if len(known) > CHUNKS:
+                known.turn()
         if self.drops_space:
             return self._join(text.replace("\n", " ").split(" "))
-        if _TWO_SPACES.search(text) or "\0" in text:
+        if "\0" in text:
             return self._join(_BEFORE_SPACE.split(text))
-        # Single white space throughout: a line feed stands alone, a space belongs to what follows it.
-        return self._join(text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0"))
+        parts = []
+        for line in text.split("\n"):
+            words = line.split()
+            if len(words) != line.count(" ") + 1 or not line.isprintable():     # other white space, or several in a row
+                return self._join(_BEFORE_SPACE.split(text))
+            parts.append(self.known[words[0]] + b"".join(map(self.spaced.__getitem__, words[1:])))
+        return self.feed.join(parts)
 
 
 @lru_cache(maxsize=4)
